@@ -1,2 +1,85 @@
-def queries(): return {}
-def oracle_sql(): return {}
+"""Queries of schema drift (p1), orphan references (p4) and skewed keys (p6)."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.operators import drift, orphans, skew
+from tessera.plans.views import table
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return drift.schema_changes(table(spark, folder, "raw_reviews")).select("file_name", "field_name", "change_kind").distinct()
+
+
+def p1_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Every change with its types, as text, before and after."""
+    c = drift.schema_changes(table(spark, folder, "raw_reviews"))
+    return c.select("feed_name", "file_seq", "file_name", "field_name", "old_name", "change_kind", F.array_join("old_types", "|").alias("old_types"), F.array_join("new_types", "|").alias("new_types"))
+
+
+def p1_tagged_fields(spark: SparkSession, folder: str) -> DataFrame:
+    return drift.tagged_fields(drift.parsed_lines(table(spark, folder, "raw_reviews")))
+
+
+def p1_unified(spark: SparkSession, folder: str) -> DataFrame:
+    raw = table(spark, folder, "raw_reviews")
+    return drift.unified_records(raw, drift.role_names(drift.schema_changes(raw)))
+
+
+def _orphans(spark: SparkSession, folder: str) -> DataFrame:
+    reviews = orphans.references(table(spark, folder, "enriched_reviews"), "enriched_reviews", "product_id", "ingested_at")
+    documents = orphans.references(table(spark, folder, "documents"), "documents", "product_id", "written_at")
+    return orphans.orphan_references([reviews, documents], table(spark, folder, "product_meta"), "parent_asin", "loaded_at", "is_removed")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _orphans(spark, folder).select("table_name", "ref_month", F.col("key").alias("product_id"), "orphan_kind")
+
+
+def p4_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Orphan keys and references per table, month and kind."""
+    return _orphans(spark, folder).groupBy("table_name", "ref_month", "orphan_kind").agg(F.count("*").alias("keys"), F.sum("n_refs").alias("refs"))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return skew.large_groups(table(spark, folder, "enriched_reviews"))
+
+
+def p6_group_results(spark: SparkSession, folder: str) -> DataFrame:
+    return skew.group_results(table(spark, folder, "enriched_reviews"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in (p1_found, p1_report, p1_tagged_fields, p1_unified, p4_found, p4_report, p6_found, p6_group_results)}
+
+
+_ORPHANS = """WITH refs AS (
+  SELECT 'enriched_reviews' AS table_name, product_id AS k, ingested_at AS t FROM enriched_reviews WHERE product_id <> ''
+  UNION ALL SELECT 'documents', product_id, written_at FROM documents WHERE product_id <> ''),
+par AS (SELECT parent_asin AS k, loaded_at, bool_or(coalesce(is_removed, false)) AS gone FROM product_meta WHERE parent_asin IS NOT NULL GROUP BY 1, 2),
+seen AS (SELECT refs.*, par.loaded_at, par.gone FROM refs ASOF LEFT JOIN par ON refs.k = par.k AND refs.t >= par.loaded_at),
+found AS (SELECT table_name, strftime(t, '%Y-%m') AS ref_month, k AS product_id,
+  CASE WHEN k NOT IN (SELECT k FROM par) THEN 'missing' WHEN loaded_at IS NULL THEN 'late' WHEN gone THEN 'removed' END AS orphan_kind FROM seen),
+orphan AS (SELECT table_name, ref_month, product_id, orphan_kind, count(*) AS n FROM found WHERE orphan_kind IS NOT NULL GROUP BY 1, 2, 3, 4)"""
+
+_DAYS = """WITH timed AS (SELECT *, CASE WHEN timestamp > 100000000000 THEN timestamp // 1000 ELSE timestamp END AS seconds FROM enriched_reviews),
+days AS (SELECT *, seconds // 86400 AS bucket FROM timed WHERE product_id <> '' AND seconds > 0)"""
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "p1_tagged_fields": """WITH ok AS (SELECT feed_name, file_seq, file_name, cast(payload AS json) AS j FROM raw_reviews WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'),
+  names AS (SELECT *, unnest(json_keys(j)) AS field_name FROM ok),
+  typed AS (SELECT *, json_type(json_extract(j, '$."' || field_name || '"')) AS t FROM names)
+  SELECT feed_name, file_seq, file_name, field_name, CASE t WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object'
+    WHEN 'ARRAY' THEN 'array' WHEN 'NULL' THEN 'null' ELSE 'number' END AS json_type, count(*) AS n_values FROM typed GROUP BY 1, 2, 3, 4, 5""",
+        "p4_found": f"{_ORPHANS} SELECT table_name, ref_month, product_id, orphan_kind FROM orphan",
+        "p4_report": f"{_ORPHANS} SELECT table_name, ref_month, orphan_kind, count(*) AS keys, cast(sum(n) AS bigint) AS refs FROM orphan GROUP BY 1, 2, 3",
+        "p6_found": f"{_DAYS} SELECT product_id, bucket FROM days GROUP BY 1, 2 HAVING count(*) > 40",
+        "p6_group_results": f"""{_DAYS} SELECT product_id, bucket, count(*) AS group_rows, min(seconds) AS first_seen, max(seconds) AS last_seen,
+  cast(sum(cast(rating AS decimal(18, 2))) AS double) AS rating_sum, cast(sum(helpful_votes) AS bigint) AS votes, count(DISTINCT user_id) AS n_user_id FROM days GROUP BY 1, 2""",
+    }

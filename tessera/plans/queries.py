@@ -53,9 +53,7 @@ def _raw_fields(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def coerce_fields(spark: SparkSession, folder: str) -> DataFrame:
-    raw = _raw_fields(spark, folder)
-    out = review_records(raw)
-    return out.select("*")
+    return review_records(_raw_fields(spark, folder))
 
 
 def coerce_scalars(spark: SparkSession, folder: str) -> DataFrame:
@@ -86,7 +84,6 @@ def metadata_fields(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def normalize_ms(spark: SparkSession, folder: str) -> DataFrame:
-    e = V.events_key(spark, folder).withColumn("event_id", F.lit(None))
     e = V.table(spark, folder, "events").select("event_id", V.epoch(F.col("ts")).alias("s"))
     mixed = F.when(F.col("event_id") % 2 == 0, F.col("s") * 1000 + F.col("event_id") % 1000).otherwise(F.col("s"))
     return e.select("event_id", to_seconds(mixed).alias("seconds"))
