@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import clean_text
@@ -28,9 +28,9 @@ def _multipliers(n: int) -> np.ndarray:
 
 
 def signatures(texts: DataFrame, shingle: int, min_words: int, coordinates: int, extra: int) -> DataFrame:
-    """(rep, coordinates, refiners, grams) of the texts (rep, words) of at least ``min_words`` words.
+    """(rep, h1, h2, coordinates, refiners, grams) of the texts (rep, words, h1, h2) of at least ``min_words`` words.
 
-    ``grams`` is the sorted set of shingle hashes in 32 bits."""
+    ``grams`` is the sorted set of shingle hashes in 32 bits; h1 and h2 are passed on."""
     pairs, single = _multipliers(2 * coordinates + extra)[: 2 * coordinates], _multipliers(2 * coordinates + extra)[2 * coordinates :]
 
     def lists(values: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
@@ -57,14 +57,16 @@ def signatures(texts: DataFrame, shingle: int, min_words: int, coordinates: int,
                 yield pa.RecordBatch.from_arrays(
                     [
                         reps.take(pa.array(who + c.first)),
+                        batch.column(2).take(pa.array(who + c.first)),
+                        batch.column(3).take(pa.array(who + c.first)),
                         lists(np.stack(coords, 1).ravel().view(np.int32), np.arange(0, n * coordinates + 1, coordinates)),
                         lists(np.stack(refine, 1).ravel().view(np.int32), np.arange(0, n * extra + 1, extra)),
                         lists(gh.astype(np.uint32).view(np.int32), np.r_[gb, len(gd)]),
                     ],
-                    ["rep", "coordinates", "refiners", "grams"],
+                    ["rep", "h1", "h2", "coordinates", "refiners", "grams"],
                 )
 
-    return texts.mapInArrow(emit, "rep bigint, coordinates array<int>, refiners array<int>, grams array<int>")
+    return texts.mapInArrow(emit, "rep bigint, h1 bigint, h2 bigint, coordinates array<int>, refiners array<int>, grams array<int>")
 
 
 def colliding_pairs(signed: DataFrame, space: Workspace, match: int, long_list: int = 40) -> DataFrame:
@@ -90,7 +92,7 @@ def similar_texts(
     shingle: int = 5,
     similarity: tuple[int, int] = (4, 5),
     min_words: int = 20,
-    coordinates: int = 22,
+    coordinates: int = 26,
     match: int = 2,
     extra: int = 6,
 ) -> tuple[DataFrame, DataFrame]:
@@ -102,14 +104,22 @@ def similar_texts(
     bigint; null ids, null texts and texts below ``min_words`` words take no part. An id given several
     times with one text counts once.
 
-    A pair of similarity s collides in one coordinate with probability s * s. With 22 coordinates and 2
-    matches a pair right at 0.6 is missed with probability 0.0007 and one at 0.7 with less than 0.00001.
+    A pair of similarity s collides in one coordinate with probability s * s. With 26 coordinates and 2
+    matches a pair right at 0.6 is missed with probability 0.00014 and one at 0.7 with less than 0.000001.
     """
     num, den = similarity
     space = Workspace(reviews.sparkSession, "alike")
     text = F.col(f"`{text_column}`")
-    cleaned = reviews.filter(F.col(id_column).isNotNull() & (F.length(text) >= min_words)).select(F.col(f"`{id_column}`").cast("bigint").alias("id"), clean_text(text).alias("words"))
-    distinct = cleaned.groupBy("words").agg(F.min("id").alias("rep"), F.max("id").alias("last")).select("rep", "words")
+    # no text of fewer characters has so many words; lower() first, since it can lengthen a text
+    cleaned = reviews.filter(F.col(id_column).isNotNull() & (F.length(F.lower(text)) >= 2 * min_words - 1)).select(F.col(f"`{id_column}`").cast("bigint").alias("id"), clean_text(text).alias("words"))
+    blanks = F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit("")))
+    copied = F.col("rep") < F.col("last")
+    distinct = (
+        cleaned.filter(blanks >= min_words - 1)
+        .groupBy("words")
+        .agg(F.min("id").alias("rep"), F.max("id").alias("last"))
+        .select("rep", "words", *[F.when(copied, h).alias(n) for n, h in _text_keys().items()])
+    )
     signed = space.save(signatures(distinct, shingle, min_words, coordinates, extra), "signed")
     pairs = space.save(colliding_pairs(signed, space, match), "pairs")
     grams = signed.select("rep", "grams")
@@ -118,16 +128,20 @@ def similar_texts(
     shared = F.size(F.array_intersect("ga", "gb"))
     either = F.size("ga") + F.size("gb") - shared
     links = space.save(both.filter(den * shared >= num * either).select(F.col("a").alias("rep_a"), F.col("b").alias("rep_b")), "links")
-    return links, copies(cleaned, min_words)
+    return links, copies(cleaned, signed)
+
 
+def _text_keys() -> dict[str, Column]:
+    """128 bits of hash that tell texts apart."""
+    return {"h1": F.xxhash64("words"), "h2": F.xxhash64(F.lit(1), "words", F.lit(2))}
 
-def copies(cleaned: DataFrame, min_words: int) -> DataFrame:
+
+def copies(cleaned: DataFrame, signed: DataFrame) -> DataFrame:
     """(rep, id): members of texts carried by more than one id; all other ids represent themselves.
 
-    Texts are told apart by 128 bits of hash, so no text is shuffled."""
-    blanks = F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit("")))
-    keyed = cleaned.filter(blanks >= min_words - 1).select("id", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words", F.lit(2)).alias("h2"))
-    classes = keyed.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.max("id").alias("last")).filter("rep < last").select("h1", "h2", "rep")
+    Only the hashes of such texts are joined back to the ids, so no text is shuffled again."""
+    classes = signed.filter("h1 is not null").select("h1", "h2", "rep")
+    keyed = cleaned.select("id", *[h.alias(n) for n, h in _text_keys().items()])
     return keyed.join(classes, ["h1", "h2"]).select("rep", "id").distinct()
 
 
