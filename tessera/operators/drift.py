@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.functions.columns import pick
 from tessera.functions.timebuckets import to_seconds
 from tessera.storage import Workspace
 
@@ -25,23 +26,25 @@ ROLE_NAMES = {
     "verified_purchase": ["verified_purchase", "verifiedPurchase"],
     "helpful_votes": ["helpful_vote", "helpful_votes"],
 }
-JSON_TYPES = ["string", "number", "boolean", "object", "array"]
+#: Columns of the input; others are ignored.
+LINE_COLUMNS = ["feed_name", "file_name", "file_seq", "line_no", "payload"]
 #: Largest number of distinct field names of one role that are read one by one from each line.
 MAX_ROLE_NAMES = 500
 #: Least similarity of the contents of two fields, one gone and one new, that makes a rename.
 RENAME_SIMILARITY = 0.6
 
 
-def parsed_lines(raw: DataFrame, payload: str = "payload") -> DataFrame:
-    """Add ``v``: the line as a variant object, null if the line isn't one well-formed JSON object.
+def parsed_lines(raw: DataFrame) -> DataFrame:
+    """The lines with ``v``: ``payload`` as a variant object, null if the line isn't one well-formed JSON object.
 
     The line is parsed as the only element of an array, which rejects text after the object. Null and
     empty lines, lines with a repeated name, other JSON values and cut-off lines all give null.
     """
-    text = F.trim(F.col(payload))
+    raw = pick(raw, *LINE_COLUMNS)
+    text = F.trim(F.col("payload"))
     parsed = F.when(text.startswith("{") & text.endswith("}"), F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))))
     one = F.try_variant_get(parsed, "$[1]", "variant").isNull()
-    return raw.withColumn("v", F.when(one, F.try_variant_get(parsed, "$[0]", "variant")))
+    return raw.withColumn("v", F.when(one, F.try_variant_get(parsed, "$[0]", "variant"))).drop("payload")
 
 
 def json_type(value: Column) -> Column:
@@ -158,7 +161,7 @@ def schema_changes(raw: DataFrame) -> DataFrame:
     space = Workspace(raw.sparkSession, "drift")
     parsed = parsed_lines(raw)
     profiles = space.save(_profiles(parsed), "profiles")
-    files = raw.groupBy("feed_name", "file_seq").agg(F.min("file_name").alias("file_name"))
+    files = pick(raw, *LINE_COLUMNS).groupBy("feed_name", "file_seq").agg(F.min("file_name").alias("file_name"))
     order = Window.partitionBy("feed_name").orderBy("file_seq")
     steps = files.withColumn("before", F.lag("file_seq").over(order)).filter("before is not null")
     measures = [c for c in profiles.columns if c not in ("feed_name", "file_seq", "file_name", "field_name")]

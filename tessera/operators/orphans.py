@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.functions.columns import pick
 from tessera.functions.timebuckets import integer_div
 from tessera.storage import Workspace
 
 
 def references(df: DataFrame, table_name: str, key: str, seen_at: str) -> DataFrame:
     """Child keys in long form: (table_name, key, at). Null and empty keys refer to nothing."""
-    return df.select(F.lit(table_name).alias("table_name"), F.col(f"`{key}`").alias("key"), F.col(f"`{seen_at}`").alias("at")).filter("key != ''")
+    return pick(df, key, seen_at).select(F.lit(table_name).alias("table_name"), F.col(f"`{key}`").alias("key"), F.col(f"`{seen_at}`").alias("at")).filter("key != ''")
 
 
 def orphan_references(children: list[DataFrame], parents: DataFrame, key: str, loaded_at: str, is_removed: str, cell_seconds: int = 86400) -> DataFrame:
@@ -40,7 +41,7 @@ def orphan_references(children: list[DataFrame], parents: DataFrame, key: str, l
     cells = refs.groupBy("table_name", "key", F.date_format("at", "yyyy-MM").alias("ref_month"), cell(F.col("at")).alias("cell")).agg(
         F.count("*").alias("n"), F.min("at").alias("low"), F.max("at").alias("high")
     )
-    events = parents.select(F.col(f"`{key}`").alias("key"), F.col(f"`{loaded_at}`").alias("at"), F.coalesce(F.col(f"`{is_removed}`"), F.lit(False)).alias("gone")).filter("key is not null")
+    events = pick(parents, key, loaded_at, is_removed).select(F.col(f"`{key}`").alias("key"), F.col(f"`{loaded_at}`").alias("at"), F.coalesce(F.col(f"`{is_removed}`"), F.lit(False)).alias("gone")).filter("key is not null")
     loads = events.groupBy("key", cell(F.col("at")).alias("cell")).agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.max(F.struct("at", "gone")).alias("last"))
     tagged = cells.select("key", "cell", F.lit(False).alias("is_parent"), "table_name", "ref_month", "n", "low", "high").unionByName(
         loads.select("key", "cell", F.lit(True).alias("is_parent"), "first_at", "last_at", F.when(F.col("last_at").isNotNull(), F.col("last.gone")).alias("gone")),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.columns import pick
 from tessera.functions.timebuckets import time_bucket, to_seconds
 
 
@@ -30,10 +31,11 @@ def keyed_aggregate(df: DataFrame, keys: list[str], *aggregates: Column, distinc
     return out.alias("o").join(counted.alias("c"), on, "left").select("o.*", F.coalesce("c.n", F.lit(0)).alias(f"n_{distinct}"))
 
 
-def product_days(reviews: DataFrame, hours: int = 24) -> DataFrame:
-    """Reviews with a product key and a positive time, with ``seconds`` and the number of their time bucket.
+def product_days(reviews: DataFrame, hours: int = 24, columns: tuple[str, ...] = ()) -> DataFrame:
+    """Reviews with a product key and a positive time: ``columns``, ``seconds`` and the number of the time bucket.
 
     Null and empty product ids are no keys; null, zero and negative times have no bucket."""
+    reviews = pick(reviews, "product_id", "timestamp", *columns)
     timed = reviews.withColumn("seconds", to_seconds(F.col("timestamp"))).filter((F.col("product_id") != "") & (F.col("seconds") > 0))
     return timed.withColumn("bucket", time_bucket(F.col("seconds"), hours))
 
@@ -41,7 +43,7 @@ def product_days(reviews: DataFrame, hours: int = 24) -> DataFrame:
 def group_results(reviews: DataFrame, hours: int = 24) -> DataFrame:
     """Per product and bucket: rows, distinct users, first and last time, rating sum and votes. Repeated rows count."""
     return keyed_aggregate(
-        product_days(reviews, hours).select("product_id", "bucket", "user_id", "seconds", "rating", "helpful_votes"),
+        product_days(reviews, hours, ("user_id", "rating", "helpful_votes")),
         ["product_id", "bucket"],
         F.count("*").alias("group_rows"),
         F.min("seconds").alias("first_seen"),
