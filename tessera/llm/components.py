@@ -10,11 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.columns import pick
 from tessera.storage import Workspace
 
 
 def links_of(edges: DataFrame, a: str = "user_a", b: str = "user_b", weight: str | None = "weight", min_weight: int = 3) -> DataFrame:
     """(u, v): distinct links with u > v. Null ends, self links and rows below ``min_weight`` (or without weight) link nothing."""
+    edges = pick(edges, a, b, *([] if weight is None else [weight]))
     kept = edges if weight is None else edges.filter(F.col(weight) >= min_weight)
     x, y = F.col(a), F.col(b)
     return kept.filter(x.isNotNull() & y.isNotNull() & (x != y)).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct()

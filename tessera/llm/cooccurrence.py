@@ -18,6 +18,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.columns import pick
 from tessera.functions.timebuckets import time_bucket, to_seconds
 from tessera.operators.pairs import blocked_pairs
 from tessera.storage import Workspace
@@ -33,6 +34,7 @@ def user_day_baskets(reviews: DataFrame) -> DataFrame:
     """(owner, day, item): distinct products a user reviews on one UTC day.
 
     Null and empty users and products are no keys; times of zero or below, or null, have no day."""
+    reviews = pick(reviews, "user_id", "product_id", "timestamp")
     seconds = to_seconds(F.col("timestamp"))
     rows = reviews.filter((F.col("user_id") != "") & (F.col("product_id") != "") & (seconds > 0))
     return rows.select(F.col("user_id").alias("owner"), time_bucket(seconds, 24).alias("day"), F.col("product_id").alias("item")).distinct()
@@ -210,6 +212,7 @@ def changed_scores(table: PairTable) -> DataFrame:
 
 def review_pairs(reviews: DataFrame, buckets: int = 16, late_share: float = 0.1) -> PairTable:
     """A pair table of user-day baskets, loaded in two batches: the rows that arrived first, then the latest tenth."""
+    reviews = pick(reviews, "user_id", "product_id", "timestamp", "ingested_at")
     spark = reviews.sparkSession
     cut = reviews.agg(F.percentile_approx(F.unix_micros(F.col("ingested_at").cast("timestamp")), 1 - late_share, 1000)).first()[0]
     table = PairTable(spark, buckets=buckets)

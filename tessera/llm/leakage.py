@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.functions.columns import pick
 from tessera.llm import textgrams as G
 from tessera.storage import Workspace
 
@@ -56,8 +57,8 @@ def leaked(documents: DataFrame, items: DataFrame, window: int = 12, shingle: in
     """
     if not 1 <= shingle <= window:
         raise ValueError("a shingle has 1 to window words")
-    spark = documents.sparkSession
-    space = Workspace(spark, "leakage")
+    documents, items = pick(documents, "doc_id", "text"), pick(items, "item_id", "text")
+    space = Workspace(documents.sparkSession, "leakage")
     span = window - shingle + 1  # shingles of a window
     item_words = items.filter("item_id is not null").select(F.col("item_id").cast("bigint").alias("id"), plain_words(F.col("text")).alias("words"))
     own = space.save(shingles(item_words, shingle).select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "shingle"), "items")

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.columns import pick
 from tessera.functions.text import clean_text
 from tessera.llm import textgrams as G
 from tessera.llm.components import connected_components
@@ -109,9 +110,10 @@ def similar_texts(
     """
     num, den = similarity
     space = Workspace(reviews.sparkSession, "alike")
-    text = F.col(f"`{text_column}`")
+    reviews = pick(reviews, id_column, text_column).toDF("id", "text")
+    text = F.col("text")
     # no text of fewer characters has so many words; lower() first, since it can lengthen a text
-    cleaned = reviews.filter(F.col(id_column).isNotNull() & (F.length(F.lower(text)) >= 2 * min_words - 1)).select(F.col(f"`{id_column}`").cast("bigint").alias("id"), clean_text(text).alias("words"))
+    cleaned = reviews.filter(F.col("id").isNotNull() & (F.length(F.lower(text)) >= 2 * min_words - 1)).select(F.col("id").cast("bigint").alias("id"), clean_text(text).alias("words"))
     blanks = F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit("")))
     copied = F.col("rep") < F.col("last")
     distinct = (

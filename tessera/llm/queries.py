@@ -23,12 +23,12 @@ def p2_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    ranked = ranking.ranked_items(table(spark, folder, "component_results"), SCORES)
+    ranked = ranking.ranked_items(table(spark, folder, "component_results"), "component_id", SCORES)
     return ranking.leading_items(ranked, SCORES).select("component_id").distinct()
 
 
 def p3_ranking(spark: SparkSession, folder: str) -> DataFrame:
-    ranked = ranking.ranked_items(table(spark, folder, "component_results"), SCORES)
+    ranked = ranking.ranked_items(table(spark, folder, "component_results"), "component_id", SCORES)
     return ranked.select("component_id", *SCORES, *[f"{s}_higher" for s in SCORES], "n_rows", "significance", "place")
 
 

@@ -15,12 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.functions.columns import pick
 from tessera.storage import Workspace
 
 
-def complete_rows(items: DataFrame, scores: list[str]) -> DataFrame:
-    """Distinct rows in which no score is null or NaN."""
-    rows = items.distinct()
+def complete_rows(items: DataFrame, id_column: str, scores: list[str]) -> DataFrame:
+    """The id and scores of the rows, distinct over all columns, in which no score is null or NaN."""
+    rows = pick(items.distinct(), id_column, *scores)
     for s in scores:
         rows = rows.filter(F.col(s).isNotNull() & ~F.isnan(F.col(s).cast("double")))
     return rows
@@ -51,17 +52,17 @@ def beta_order_statistic(x: Column, k: int, m: int) -> Column:
     return reduce(lambda a, b: a + b, terms)
 
 
-def ranked_items(items: DataFrame, scores: list[str], slices: int = 64) -> DataFrame:
-    """The complete distinct rows with, per score s, ``s_higher`` (rows strictly above), and ``n_rows``,
+def ranked_items(items: DataFrame, id_column: str, scores: list[str], slices: int = 64) -> DataFrame:
+    """Id and scores of the complete distinct rows with, per score s, ``s_higher`` (rows strictly above), and ``n_rows``,
     ``significance`` and ``place``.
 
     Higher scores are better. Tied values share the worst case for none: each gets (rows above + 1) / n.
     ``significance`` is at most 1; equal significances share a place, as in a competition. Rows with a
-    null or NaN score aren't ranked; an empty table gives an empty result. ``items`` may have any other
-    columns except those named here.
+    null or NaN score aren't ranked; a null id is an id like others; an empty table gives an empty result.
+    Other columns only count in telling rows apart.
     """
     space = Workspace(items.sparkSession, "ranking")
-    rows = space.save(complete_rows(items, scores), "rows")
+    rows = space.save(complete_rows(items, id_column, scores), "rows")
     n = rows.count()
     counts = space.save(higher_counts(rows, scores, slices), "higher")
     out = rows

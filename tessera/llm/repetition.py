@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.columns import pick
 from tessera.llm import textgrams as G
 from tessera.llm.leakage import plain_words
 from tessera.storage import Workspace
@@ -69,7 +70,7 @@ def features(documents: DataFrame) -> DataFrame:
                 columns = [ids.slice(c.first, c.n), pa.array(c.words.astype(np.int64)), pa.array(four[0].astype(np.int64)), pa.array(four[1].astype(np.int64)), lists]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_grams", "n_repeated", "features"])
 
-    words = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), plain_words(F.col("text")).alias("words"))
+    words = pick(documents, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), plain_words(F.col("text")).alias("words"))
     return words.mapInArrow(emit, "doc_id bigint, n_words bigint, n_grams bigint, n_repeated bigint, features array<double>")
 
 
@@ -151,7 +152,7 @@ def exact_repetition(documents: DataFrame) -> DataFrame:
             cols = list(zip(*out)) if out else [(), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in cols]], ["doc_id", "n_words", "n_grams", "n_repeated"])
 
-    words = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), plain_words(F.col("text")).alias("words"))
+    words = pick(documents, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), plain_words(F.col("text")).alias("words"))
     return words.mapInArrow(emit, "doc_id bigint, n_words bigint, n_grams bigint, n_repeated bigint")
 
 
@@ -163,7 +164,9 @@ def repetitive(documents: DataFrame, share_tenths: int = 3, min_words: int = 20)
     """(doc_id, repeated_share, probability) of documents of at least ``min_words`` words in which at least
     ``share_tenths`` tenths of the four-word sequences are repetitions.
 
-    Texts shorter than that, empty and null texts never qualify. Repeated doc_ids give repeated rows."""
+    Texts shorter than that, empty and null texts never qualify; documents without an id take no part. Repeated doc_ids
+    give repeated rows."""
+    documents = pick(documents, "doc_id", "text").filter("doc_id is not null")
     space = Workspace(documents.sparkSession, "repetition")
     measured = space.save(features(documents), "features")
     model = train(measured, share_tenths / 10, min_words)
