@@ -9,13 +9,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tessera.functions.timebuckets import time_bucket
 from tessera.operators.reviews import cleaned_reviews, valid_reviews
-from tessera.sources.jsonl import exact_names, review_records
+from tessera.sources.jsonl import REVIEW_FIELDS, review_records
 
 
-def stream_reviews(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+def stream_reviews(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Valid, cleaned reviews of files as they arrive; streams need the schema beforehand."""
-    with exact_names(spark):
-        return cleaned_reviews(valid_reviews(review_records(spark.readStream.schema(schema).json(path))))
+    known = T.StructType([f for f in schema.fields if f.name in REVIEW_FIELDS])
+    return cleaned_reviews(valid_reviews(review_records(spark.readStream.schema(known).json(path))))
 
 
 def stream_group_counts(reviews: DataFrame, hours: int = 24) -> DataFrame:
