@@ -95,7 +95,7 @@ def similar_texts(
     min_words: int = 20,
     coordinates: int = 26,
     match: int = 2,
-    extra: int = 6,
+    extra: int = 12,
 ) -> tuple[DataFrame, DataFrame]:
     """Links between different texts and the members of each text.
 
@@ -106,7 +106,9 @@ def similar_texts(
     times with one text counts once.
 
     A pair of similarity s collides in one coordinate with probability s * s. With 26 coordinates and 2
-    matches a pair right at 0.6 is missed with probability 0.00014 and one at 0.7 with less than 0.000001.
+    matches a pair right at 0.6 is missed with probability 0.00014 and one at 0.7 with less than 0.000001. Pairs that only
+    meet in long lists must also share one of ``extra`` further minhashes; at 0.6 all 12 differ with
+    probability 0.00002.
     """
     num, den = similarity
     space = Workspace(reviews.sparkSession, "alike")
