@@ -29,6 +29,8 @@ CHAR_SIZES = (12, 40)
 FEATURES = [f"word_{n}" for n in WORD_SIZES] + [f"char_{n}" for n in CHAR_SIZES]
 #: Labelled rows the classifier is fitted on, at most.
 MAX_LABELLED = 5_000
+#: Ids of screened documents that are broadcast, at most (8 bytes each).
+MAX_SENT_IDS = 1_000_000
 
 
 def _excess(doc: np.ndarray, h: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
@@ -171,7 +173,9 @@ def repetitive(documents: DataFrame, share_tenths: int = 3, min_words: int = 20)
     measured = space.save(features(documents), "features")
     model = train(measured, share_tenths / 10, min_words)
     limit = model.threshold(share_tenths / 10) * (1 - 1e-9)
-    passed = scored(measured, model).filter(F.col("probability") >= limit).select("doc_id", "probability")
-    rest = documents.join(passed.select("doc_id").distinct(), "doc_id", "left_semi")
+    passed = space.save(scored(measured, model).filter(F.col("probability") >= limit).select("doc_id", "probability").distinct(), "passed")
+    ids = passed.select("doc_id").distinct()
+    # a checked number of ids goes to the texts; beyond it the texts are shuffled to the ids
+    rest = documents.join(F.broadcast(ids) if passed.count() <= MAX_SENT_IDS else ids, "doc_id", "left_semi")
     exact = exact_repetition(rest).filter((F.col("n_words") >= min_words) & (10 * F.col("n_repeated") >= share_tenths * F.col("n_grams")))
-    return exact.join(passed.distinct(), "doc_id").select("doc_id", repeated_share().alias("repeated_share"), "probability")
+    return exact.join(passed, "doc_id").select("doc_id", repeated_share().alias("repeated_share"), "probability")
