@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.config import PipelineConfig
+from tessera.storage import Workspace
 
 
 def blocked_pairs(members: DataFrame, group: list[str], item: str, block_size: int = 512) -> DataFrame:
@@ -38,7 +39,8 @@ def group_members(groups: DataFrame) -> DataFrame:
 
 def user_pairs(groups: DataFrame, config: PipelineConfig = PipelineConfig()) -> DataFrame:
     """(user_a, user_b, product_id, bucket): each unordered pair of users once per group, user_a < user_b."""
-    pairs = blocked_pairs(group_members(groups), ["product_id", "bucket"], "user_id", config.pair_block_size)
+    members = Workspace(groups.sparkSession, "members").save(group_members(groups), "members")
+    pairs = blocked_pairs(members, ["product_id", "bucket"], "user_id", config.pair_block_size)
     return pairs.select(F.col("item_a").alias("user_a"), F.col("item_b").alias("user_b"), "product_id", "bucket")
 
 
@@ -47,11 +49,13 @@ def edges(groups: DataFrame, config: PipelineConfig = PipelineConfig()) -> DataF
 
     A user in fewer groups than that can't have an edge; such users leave before pairing, which
     changes no result and removes most of the pair volume. A pair occurs once per group, so its
-    weight is a plain count, combined before the shuffle.
+    weight is a plain count, combined before the shuffle. The members are written once, since pairing
+    reads them several times and their source may be costly.
     """
-    members = group_members(groups)
+    space = Workspace(groups.sparkSession, "members")
+    members = space.save(group_members(groups), "members")
     active = members.groupBy("user_id").agg(F.count("*").alias("n")).filter(F.col("n") >= config.min_repeated_groups)
-    kept = members.join(active.select("user_id"), "user_id", "left_semi")
+    kept = space.save(members.join(active.select("user_id"), "user_id", "left_semi"), "kept")
     pairs = blocked_pairs(kept, ["product_id", "bucket"], "user_id", config.pair_block_size)
     return (
         pairs.groupBy(F.col("item_a").alias("user_a"), F.col("item_b").alias("user_b"))
