@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions.columns import pick
 from tessera.llm import textgrams as G
+from tessera.shipping import ship_package
 from tessera.storage import Workspace
 
 #: Item shingles up to this number (8 bytes each) go to the workers as one sorted array.
@@ -43,6 +44,7 @@ def shingles(texts: DataFrame, shingle: int, keep: np.ndarray | None = None) ->
                 if len(doc):
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc + c.first)), pa.array(pos.astype(np.int32)), pa.array(h.view(np.int64))], ["id", "pos", "shingle"])
 
+    ship_package(texts.sparkSession)
     return texts.mapInArrow(emit, "id bigint, pos int, shingle bigint")
 
 

@@ -22,6 +22,7 @@ from tessera.functions.text import clean_text
 from tessera.llm import textgrams as G
 from tessera.llm.components import connected_components
 from tessera.operators.pairs import blocked_pairs
+from tessera.shipping import ship_package
 from tessera.storage import Workspace
 
 def _multipliers(n: int) -> np.ndarray:
@@ -67,6 +68,7 @@ def signatures(texts: DataFrame, shingle: int, min_words: int, coordinates: int,
                     ["rep", "h1", "h2", "coordinates", "refiners", "grams"],
                 )
 
+    ship_package(texts.sparkSession)
     return texts.mapInArrow(emit, "rep bigint, h1 bigint, h2 bigint, coordinates array<int>, refiners array<int>, grams array<int>")
 
 

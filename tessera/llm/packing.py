@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import pick
+from tessera.shipping import ship_package
 from tessera.storage import Workspace
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -47,6 +48,7 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
             sizes = [len(encode(t)) if t else 0 for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], ["doc_id", "n_tokens"])
 
+    ship_package(documents.sparkSession)
     return pick(documents, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(emit, "doc_id bigint, n_tokens bigint")
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from tessera.functions.columns import pick
 from tessera.llm import textgrams as G
 from tessera.llm.leakage import plain_words
+from tessera.shipping import ship_package
 from tessera.storage import Workspace
 
 WORD_SIZES = (1, 2, 3, 4, 6)
@@ -73,6 +74,7 @@ def features(documents: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_grams", "n_repeated", "features"])
 
     words = pick(documents, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), plain_words(F.col("text")).alias("words"))
+    ship_package(documents.sparkSession)
     return words.mapInArrow(emit, "doc_id bigint, n_words bigint, n_grams bigint, n_repeated bigint, features array<double>")
 
 
@@ -138,6 +140,7 @@ def scored(measured: DataFrame, model: RepetitionModel) -> DataFrame:
     def probability(x: pd.Series) -> pd.Series:
         return pd.Series(model.probability(np.array(x.tolist()).reshape(-1, len(FEATURES))))
 
+    ship_package(measured.sparkSession)
     return measured.withColumn("probability", probability("features"))
 
 
@@ -155,6 +158,7 @@ def exact_repetition(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in cols]], ["doc_id", "n_words", "n_grams", "n_repeated"])
 
     words = pick(documents, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), plain_words(F.col("text")).alias("words"))
+    ship_package(documents.sparkSession)
     return words.mapInArrow(emit, "doc_id bigint, n_words bigint, n_grams bigint, n_repeated bigint")
 
 
