@@ -5,10 +5,8 @@ counts. A batch of changes touches the baskets it names; these emit signed delta
 which are merged into the buckets they hash to. Other buckets keep their files. A manifest names the
 files of each bucket and is replaced last, so a batch that fails leaves the former state.
 
-Pairs are only kept between admitted items: those in at least ``min_support`` baskets and in no more
-than a ``lift``-th of all baskets. No other pair can reach ``min_support`` common baskets and ``lift``
-times the count expected by chance, since a pair occurs no more often than either of its items. When an
-item is admitted or dismissed, its baskets count as changed, so the table stays exact.
+The counts of all pairs are kept. ``min_support`` and ``lift`` only choose among them what counts as
+associated, so tables may be read under other values than they were written under.
 """
 
 from __future__ import annotations
@@ -61,13 +59,13 @@ class PairTable:
         fs, path = self._fs("manifest")
         if fs.exists(path):
             state = json.loads(self.spark.read.text(self.space.path("manifest")).first()[0])
-            for given, kept in (("buckets", self.buckets), ("min_support", self.min_support), ("lift", self.lift)):
-                if state[given] != kept:
-                    raise ValueError(f"the table at {self.space.root} has {given}={state[given]}")
+            for given, kept in (("buckets", self.buckets), ("pairs", "all")):  # earlier tables lack pairs of rare and of frequent items
+                if state.get(given) != kept:
+                    raise ValueError(f"the table at {self.space.root} has {given}={state.get(given)}")
             self.version, self.baskets, self.files = state["version"], state["baskets"], state["files"]
 
     def _commit(self) -> None:
-        state = {"version": self.version, "baskets": self.baskets, "files": self.files, "buckets": self.buckets, "min_support": self.min_support, "lift": self.lift}
+        state = {"version": self.version, "baskets": self.baskets, "files": self.files, "buckets": self.buckets, "pairs": "all"}
         self.spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("overwrite").text(self.space.path("manifest-new"))
         fs, new = self._fs("manifest-new")
         _, path = self._fs("manifest")
@@ -137,24 +135,16 @@ class PairTable:
             grown = changed.join(size_before, ["owner", "day"], "left").withColumn("k", F.coalesce("k", F.lit(0)))
             born, died = grown.agg(F.sum((F.col("k") == 0).cast("int")), F.sum((F.col("k") + F.col("d") == 0).cast("int"))).first()
             new_total = self.baskets + (born or 0) - (died or 0)
-        admitted = lambda n, total: (n >= self.min_support) & (n * self.lift <= total)
-        status = counts.select("item", admitted(F.col("n_old"), F.lit(self.baskets)).alias("ok_was"), admitted(F.col("n"), F.lit(new_total)).alias("ok_is"))
-        status = status.filter("ok_was or ok_is")
 
-        # changed baskets: a membership changed, or an item's admission did
+        # changed baskets, as they were and as they are
         if first:
             views = delta.select("owner", "day", "item", F.lit(False).alias("was"), F.lit(True).alias("is"))
         else:
-            flipped = status.filter("ok_was != ok_is").select("item")
-            everything = self.read("members")
-            stirred = everything.join(flipped, "item", "left_semi").select("owner", "day").unionByName(delta.select("owner", "day")).distinct()
-            before = everything.join(stirred, ["owner", "day"], "left_semi").select("owner", "day", "item", F.lit(1).alias("was"), F.lit(1).alias("is"))
+            before = old_members.join(changed.select("owner", "day"), ["owner", "day"], "left_semi").select("owner", "day", "item", F.lit(1).alias("was"), F.lit(1).alias("is"))
             both = before.unionByName(delta.select("owner", "day", "item", "was", "is"))
             # a delta row overrides the stored membership: min for those taken out, was 0 for new ones
-            views = both.groupBy("owner", "day", "item").agg((F.max("was") == 1).alias("was"), (F.min("is") == 1).alias("is"))
-        known = views.join(status, "item").select("owner", "day", "item", (F.col("was") & F.col("ok_was")).alias("was"), (F.col("is") & F.col("ok_is")).alias("is")).filter("was or is")
-        shown = run.save(known, "views")
-        pair_delta = run.save(self._signed_pairs(shown), "pair-delta")
+            views = run.save(both.groupBy("owner", "day", "item").agg((F.max("was") == 1).alias("was"), (F.min("is") == 1).alias("is")), "views")
+        pair_delta = run.save(self._signed_pairs(views), "pair-delta")
 
         # merge into the buckets concerned
         item_buckets, pair_buckets = self._buckets_of("marginals", shift), self._buckets_of("pairs", pair_delta)
@@ -184,7 +174,7 @@ class PairTable:
     # --- results -----------------------------------------------------------------
 
     def scores(self, pairs: DataFrame | None = None) -> DataFrame:
-        """(item_a, item_b, n_ab, n_a, n_b, baskets, lift, npmi) of all kept pairs, or of ``pairs``.
+        """(item_a, item_b, n_ab, n_a, n_b, baskets, lift, npmi) of every pair with a common basket, or of ``pairs``.
 
         ``lift`` is the count over that expected by chance, ``npmi`` its logarithm normalised to [-1, 1]."""
         rows = self.read("pairs") if pairs is None else self.read("pairs").join(pairs, ["item_a", "item_b"], "left_semi")
@@ -192,14 +182,17 @@ class PairTable:
         joined = rows.join(m.select(F.col("item").alias("item_a"), F.col("n").alias("n_a")), "item_a").join(m.select(F.col("item").alias("item_b"), F.col("n").alias("n_b")), "item_b")
         total = F.lit(self.baskets).cast("double")
         n_ab = F.col("n")
-        lift = n_ab * total / (F.col("n_a") * F.col("n_b"))
+        lift = n_ab * total / (F.col("n_a").cast("double") * F.col("n_b"))
         npmi = F.when(n_ab == total, F.lit(1.0)).otherwise(F.log(lift) / -F.log(n_ab / total))
         return joined.select("item_a", "item_b", n_ab.alias("n_ab"), "n_a", "n_b", F.lit(self.baskets).cast("bigint").alias("baskets"), lift.alias("lift"), npmi.alias("npmi"))
 
     def associated(self) -> DataFrame:
-        """Pairs in at least ``min_support`` common baskets and ``lift`` times as many as by chance, in integers."""
-        s = self.scores()
-        return s.filter((F.col("n_ab") >= self.min_support) & (F.col("n_ab") * F.col("baskets") >= self.lift * F.col("n_a") * F.col("n_b")))
+        """Pairs in at least ``min_support`` common baskets and ``lift`` times as many as by chance, in integers.
+
+        An item in more than a ``lift``-th of all baskets has no such pair; leaving it out first keeps the products small."""
+        s = self.scores().filter(F.col("n_ab") >= self.min_support)
+        possible = F.greatest("n_a", "n_b") * self.lift <= F.col("baskets")
+        return s.filter(F.when(possible, F.col("n_ab") * F.col("baskets") >= self.lift * F.col("n_a") * F.col("n_b")).otherwise(False))
 
 
 def changed_scores(table: PairTable) -> DataFrame:

@@ -19,7 +19,8 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_scores(spark: SparkSession, folder: str) -> DataFrame:
-    return cooccurrence.review_pairs(table(spark, folder, "enriched_reviews")).associated()
+    """Every pair of products with a common basket: its count and its relation to chance."""
+    return cooccurrence.review_pairs(table(spark, folder, "enriched_reviews")).scores()
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -46,6 +46,25 @@ def test_incremental_pairs_equal_brute_force(spark):
         cooccurrence.PairTable(spark, table.space.root, buckets=4, min_support=2, lift=2)
 
 
+def test_scores_hold_every_pair(spark):
+    # "hot" is in every basket, "rare" in one; neither can be associated
+    baskets = {("o", d): {"hot", *(["x", "y"] if d < 3 else ["z"]), *(["rare"] if d == 0 else [])} for d in range(12)}
+    rows = [(o, d, i) for (o, d), items in baskets.items() for i in items]
+    table = cooccurrence.PairTable(spark, buckets=3, min_support=3, lift=4, block_size=2)
+    table.apply(spark.createDataFrame(rows[:14], MEMBER))
+    table.apply(spark.createDataFrame(rows[10:] + [("o", 1, "gone")], MEMBER))
+    table.apply(None, spark.createDataFrame([("o", 1, "gone")], MEMBER))
+    n, pair = Counter(), Counter()
+    for items in baskets.values():
+        n.update(items)
+        pair.update(combinations(sorted(items), 2))
+    want = {(a, b): (k, n[a], n[b], 12, pytest.approx(k * 12 / (n[a] * n[b]))) for (a, b), k in pair.items()}
+    assert {(r.item_a, r.item_b): (r.n_ab, r.n_a, r.n_b, r.baskets, r.lift) for r in table.scores().collect()} == want
+    assert ("hot", "rare") in want and [(r.item_a, r.item_b) for r in table.associated().collect()] == [("x", "y")]
+    other = cooccurrence.PairTable(spark, table.space.root, buckets=3, min_support=1, lift=1)
+    assert other.associated().count() == sum(k * 12 >= n[a] * n[b] for (a, b), k in pair.items())
+
+
 def test_baskets_of_reviews(spark):
     rows = [("u", "a", 5), ("u", "a", 5), ("u", "b", 86399), ("u", "b", (86399 + 10**9) * 1000), ("", "a", 5), (None, "a", 5), ("u", "", 5), ("u", None, 5), ("u", "c", 0), ("u", "c", None), ("u", "c", -1)]
     df = spark.createDataFrame(rows, "user_id string, product_id string, timestamp bigint").select("*", F.lit(1).alias("USER_ID"), F.lit(2).alias("owner"))
