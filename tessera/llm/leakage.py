@@ -30,11 +30,13 @@ def plain_words(text: Column) -> Column:
 
 
 def shingles(texts: DataFrame, shingle: int, keep: np.ndarray | None = None) -> DataFrame:
-    """(id, pos, shingle) of the shingles of ``texts`` (id, words); only those in the sorted array ``keep`` if given."""
+    """(id, version, pos, shingle) of the shingles of ``texts`` (id, words); only those in the sorted array ``keep`` if given.
+
+    ``version`` is a hash of the words: it tells apart different texts under one id, and is the same for repeated rows."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
+            ids, versions = batch.column(0), batch.column(2)
             for c in G.chunks(batch.column(1)):
                 doc, pos, h = c.grams(shingle)
                 if keep is not None:
@@ -42,10 +44,11 @@ def shingles(texts: DataFrame, shingle: int, keep: np.ndarray | None = None) ->
                     found = np.flatnonzero(keep[at] == h) if len(keep) else np.zeros(0, np.int64)
                     doc, pos, h = doc[found], pos[found], h[found]
                 if len(doc):
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc + c.first)), pa.array(pos.astype(np.int32)), pa.array(h.view(np.int64))], ["id", "pos", "shingle"])
+                    at = pa.array(doc + c.first)
+                    yield pa.RecordBatch.from_arrays([ids.take(at), versions.take(at), pa.array(pos.astype(np.int32)), pa.array(h.view(np.int64))], ["id", "version", "pos", "shingle"])
 
     ship_package(texts.sparkSession)
-    return texts.mapInArrow(emit, "id bigint, pos int, shingle bigint")
+    return texts.select("id", "words", F.xxhash64("words").alias("version")).mapInArrow(emit, "id bigint, version bigint, pos int, shingle bigint")
 
 
 def leaked(documents: DataFrame, items: DataFrame, window: int = 12, shingle: int = 5) -> DataFrame:
@@ -53,7 +56,8 @@ def leaked(documents: DataFrame, items: DataFrame, window: int = 12, shingle: in
     with the length in words of the longest such run.
 
     Both tables need a bigint id and ``text``. Null and empty texts and items shorter than ``window`` words
-    match nothing. One pass over the documents keeps the positions of shingles that occur in any item,
+    match nothing. A repeated row counts once; several texts under one id are matched each by itself, and
+    the id has what any of them has. One pass over the documents keeps the positions of shingles that occur in any item,
     usually a small part; everything after works on those positions. Item shingles are shipped to the
     workers while they number at most MAX_SHIPPED_SHINGLES, and beyond that joined by shuffle.
     """
@@ -63,7 +67,8 @@ def leaked(documents: DataFrame, items: DataFrame, window: int = 12, shingle: in
     space = Workspace(documents.sparkSession, "leakage")
     span = window - shingle + 1  # shingles of a window
     item_words = items.filter("item_id is not null").select(F.col("item_id").cast("bigint").alias("id"), plain_words(F.col("text")).alias("words"))
-    own = space.save(shingles(item_words, shingle).select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "shingle"), "items")
+    item, doc = ["item_id", "item_version"], ["doc_id", "doc_version"]
+    own = space.save(shingles(item_words.distinct(), shingle).toDF(*item, "item_pos", "shingle"), "items")
     texts = documents.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("id"), plain_words(F.col("text")).alias("words"))
     shipped = None
     if own.count() <= MAX_SHIPPED_SHINGLES:
@@ -72,37 +77,38 @@ def leaked(documents: DataFrame, items: DataFrame, window: int = 12, shingle: in
         found = shingles(texts, shingle, np.sort(shipped.astype(np.int64).view(np.uint64)))
     else:
         found = shingles(texts, shingle).join(own.select("shingle").distinct(), "shingle", "left_semi")
-    hits = space.save(found.select(F.col("id").alias("doc_id"), F.col("pos").alias("doc_pos"), "shingle"), "hits")
+    # distinct only here, where repeated documents are small
+    hits = space.save(found.select("id", "version", "pos", "shingle").toDF(*doc, "doc_pos", "shingle").distinct(), "hits")
 
     # rarity over the whole corpus; a window with an absent shingle can't occur
     rarity = hits.select("doc_id", "shingle").distinct().groupBy("shingle").agg(F.count("*").alias("n_docs"))
-    order = Window.partitionBy("item_id").orderBy("item_pos").rowsBetween(0, span - 1)
+    order = Window.partitionBy(*item).orderBy("item_pos").rowsBetween(0, span - 1)
     ranked = own.join(rarity, "shingle", "left").withColumn("present", F.count("n_docs").over(order))
     rarest = ranked.withColumn("prefix", F.min(F.struct("n_docs", "shingle", "item_pos")).over(order)).filter(F.col("present") == span)
-    prefixes = rarest.select("item_id", F.col("item_pos").alias("window_at"), F.col("prefix.shingle").alias("shingle"), F.col("prefix.item_pos").alias("prefix_at"))
+    prefixes = rarest.select(*item, F.col("item_pos").alias("window_at"), F.col("prefix.shingle").alias("shingle"), F.col("prefix.item_pos").alias("prefix_at"))
 
     # necessary prefix: the diagonal of document and item position fixes where the window has to start
     starts = (
         hits.join(prefixes, "shingle")
         .withColumn("doc_at", F.col("doc_pos") - (F.col("prefix_at") - F.col("window_at")))
         .filter("doc_at >= 0")
-        .select("doc_id", "item_id", "doc_at", "window_at")
+        .select(*doc, *item, "doc_at", "window_at")
         .distinct()
     )
     # exact containment: all shingles of the item-sized window, at their places
-    needed = own.select("item_id", "item_pos", F.col("shingle").alias("must"))
+    needed = own.select(*item, "item_pos", F.col("shingle").alias("must"))
     spread = starts.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(span - 1)))).select(
-        "doc_id", "item_id", "doc_at", "window_at", (F.col("window_at") + F.col("step")).alias("item_pos"), (F.col("doc_at") + F.col("step")).alias("doc_pos")
+        *doc, *item, "doc_at", "window_at", (F.col("window_at") + F.col("step")).alias("item_pos"), (F.col("doc_at") + F.col("step")).alias("doc_pos")
     )
     checked = (
-        spread.join(needed, ["item_id", "item_pos"])
-        .join(hits.select("doc_id", "doc_pos", F.col("shingle").alias("must")), ["doc_id", "doc_pos", "must"])
-        .groupBy("doc_id", "item_id", "doc_at", "window_at")
+        spread.join(needed, [*item, "item_pos"])
+        .join(hits.select(*doc, "doc_pos", F.col("shingle").alias("must")), [*doc, "doc_pos", "must"])
+        .groupBy(*doc, *item, "doc_at", "window_at")
         .agg(F.count("*").alias("n"))
         .filter(F.col("n") == span)
     )
     # consecutive windows on one diagonal form a longer run
-    diagonal = Window.partitionBy("doc_id", "item_id", F.col("doc_at") - F.col("window_at")).orderBy("doc_at")
+    diagonal = Window.partitionBy(*doc, *item, F.col("doc_at") - F.col("window_at")).orderBy("doc_at")
     runs = checked.withColumn("run", F.col("doc_at") - F.row_number().over(diagonal))
-    lengths = runs.groupBy("doc_id", "item_id", (F.col("doc_at") - F.col("window_at")).alias("d"), "run").agg((F.count("*") + window - 1).alias("words"))
+    lengths = runs.groupBy(*doc, *item, (F.col("doc_at") - F.col("window_at")).alias("d"), "run").agg((F.count("*") + window - 1).alias("words"))
     return lengths.groupBy("doc_id", "item_id").agg(F.max("words").alias("matched_words"))

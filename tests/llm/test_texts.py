@@ -64,6 +64,19 @@ def test_leaks_equal_brute_force(spark, monkeypatch, shipped):
     assert leakage.leaked(d.limit(0), i).count() == 0 and leakage.leaked(d, i.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shipped", [10**6, 0])
+def test_leaks_of_repeated_rows(spark, monkeypatch, shipped):
+    monkeypatch.setattr(leakage, "MAX_SHIPPED_SHINGLES", shipped)
+    w = [f"v{i}" for i in range(40)]
+    text = " ".join
+    items = [(1, text(w[:20]))] * 2 + [(2, text(w[20:34])), (2, text(w[34:]) + " short"), (3, text(w[8:24]))]
+    # document 2 holds no window in either of its texts, only across both; 3 in one of them
+    docs = [(1, "a " + text(w[:15]))] * 2 + [(2, text(w[:10])), (2, text(["x"] * 10 + w[10:19])), (3, "b"), (3, text(w[19:33]))]
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = sorted(tuple(r) for r in leakage.leaked(d, i).select("doc_id", "item_id", "matched_words").collect())
+    assert got == [(1, 1, 15), (3, 2, 13)]
+
+
 def edited(rnd, w):
     w = list(w)
     for _ in range(rnd.randrange(0, 7)):
