@@ -98,6 +98,32 @@ def tagged_fields(parsed: DataFrame) -> DataFrame:
     )
 
 
+def tagged_paths(parsed: DataFrame) -> DataFrame:
+    """The tagged union at every depth: the columns of ``tagged_fields`` and ``path``, the place below the field.
+
+    A field itself has the path ''; a member adds ``["name"]``, and all elements of an array share ``[*]``.
+    One level of objects and arrays is opened at a time, until a level holds none."""
+    space = Workspace(parsed.sparkSession, "paths")
+    at = ["feed_name", "file_seq", "file_name", "field_name", "path"]
+    explode = lambda df: df.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("v").outer()))
+    nests = json_type(F.col("value")).isin("object", "array")
+    counts = tagged_fields(parsed).select(*at[:-1], F.lit("").alias("path"), "json_type", "n_values")
+    counts.write.parquet(space.path("counts"))
+    top = explode(parsed.filter(F.col("v").isNotNull()).select("feed_name", "file_seq", "file_name", "v"))
+    level = space.save(top.filter(nests).select(*at[:-2], F.col("key").alias("field_name"), F.lit("").alias("path"), F.col("value").alias("v")), "level-0")
+    n = 0
+    while not level.isEmpty():
+        name = F.replace(F.replace("key", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+        step = F.when(F.col("key").isNull(), "[*]").otherwise(F.concat(F.lit('["'), name, F.lit('"]')))
+        below = explode(level).select(*at[:-1], F.concat("path", step).alias("path"), "value")
+        typed = below.withColumn("json_type", F.coalesce(json_type(F.col("value")), F.lit("null")))
+        typed.groupBy(*at, "json_type").agg(F.count("*").alias("n_values")).write.mode("append").parquet(space.path("counts"))
+        n += 1
+        level = space.save(below.filter(nests).select(*at, F.col("value").alias("v")), f"level-{n}")
+        space.drop(f"level-{n - 1}")
+    return parsed.sparkSession.read.schema(counts.schema).parquet(space.path("counts"))
+
+
 def _profiles(parsed: DataFrame) -> DataFrame:
     """Per file and field: its set of types and the means that describe its contents."""
     text = F.col("text")
@@ -150,6 +176,13 @@ def _similarity(g: str, n: str) -> Column:
     return F.least(F.lit(1.0), F.sqrt(values) * kinds * opening * (0.4 + 0.6 * presence) * (0.7 + 0.3 * ratio("variety", 0.05)))
 
 
+def _steps(raw: DataFrame) -> DataFrame:
+    """(feed_name, file_seq, file_name, before): every file that has a preceding one in its feed."""
+    files = pick(raw, *LINE_COLUMNS).groupBy("feed_name", "file_seq").agg(F.min("file_name").alias("file_name"))
+    order = Window.partitionBy("feed_name").orderBy("file_seq")
+    return files.withColumn("before", F.lag("file_seq").over(order)).filter("before is not null")
+
+
 def schema_changes(raw: DataFrame) -> DataFrame:
     """(feed_name, file_seq, file_name, field_name, old_name, change_kind, old_types, new_types).
 
@@ -161,9 +194,7 @@ def schema_changes(raw: DataFrame) -> DataFrame:
     space = Workspace(raw.sparkSession, "drift")
     parsed = parsed_lines(raw)
     profiles = space.save(_profiles(parsed), "profiles")
-    files = pick(raw, *LINE_COLUMNS).groupBy("feed_name", "file_seq").agg(F.min("file_name").alias("file_name"))
-    order = Window.partitionBy("feed_name").orderBy("file_seq")
-    steps = files.withColumn("before", F.lag("file_seq").over(order)).filter("before is not null")
+    steps = _steps(raw)
     measures = [c for c in profiles.columns if c not in ("feed_name", "file_seq", "file_name", "field_name")]
     packed = profiles.select("feed_name", "file_seq", "field_name", F.struct(*measures).alias("p"))
     new = steps.join(packed, ["feed_name", "file_seq"]).select("feed_name", "file_seq", "field_name", F.col("p").alias("n"))
@@ -195,6 +226,27 @@ def schema_changes(raw: DataFrame) -> DataFrame:
     return changes.join(steps.select("feed_name", "file_seq", "file_name"), key)
 
 
+def nested_changes(raw: DataFrame, changes: DataFrame) -> DataFrame:
+    """The columns of ``schema_changes`` and ``path``: changes below the fields that a file has kept or renamed.
+
+    A path is added, removed or retyped; what lies below an added or removed field goes with it.
+    ``changes`` are those of the fields themselves."""
+    key = ["feed_name", "file_seq"]
+    found = tagged_paths(parsed_lines(raw)).filter("path != ''").groupBy(*key, "field_name", "path")
+    types = found.agg(F.sort_array(F.collect_set(F.nullif("json_type", F.lit("null")))).alias("types"))
+    steps = _steps(raw)
+    new = steps.join(types.withColumnRenamed("types", "new_types"), key).select(*key, "field_name", "path", "new_types")
+    was = types.select("feed_name", F.col("file_seq").alias("before"), F.col("field_name").alias("was_name"), "path", F.col("types").alias("old_types"))
+    renamed = changes.filter("change_kind = 'renamed'").select(*key, F.col("old_name").alias("was_name"), "field_name", "old_name")
+    old = steps.join(was, ["feed_name", "before"]).join(renamed, [*key, "was_name"], "left")
+    old = old.select(*key, F.coalesce("field_name", "was_name").alias("field_name"), "path", "old_name", "old_types")
+    whole = changes.filter("change_kind in ('added', 'removed')").select(*key, "field_name")
+    both = new.join(old, [*key, "field_name", "path"], "full").join(whole, [*key, "field_name"], "left_anti")
+    kind = F.when(F.col("old_types").isNull(), "added").when(F.col("new_types").isNull(), "removed").when(F.col("old_types") != F.col("new_types"), "retyped")
+    changed = both.withColumn("change_kind", kind).filter("change_kind is not null")
+    return changed.join(steps.select(*key, "file_name"), key).select(*key, "file_name", "field_name", "path", "old_name", "change_kind", "old_types", "new_types")
+
+
 def role_names(changes: DataFrame, rounds: int = 4) -> dict[str, list[str]]:
     """Names that carry each role: the known alternatives and, through renames, the names feeds use.
 
@@ -221,9 +273,26 @@ def role_names(changes: DataFrame, rounds: int = 4) -> dict[str, list[str]]:
     return out
 
 
+def _branches(value: Column) -> Column:
+    """JSON type, canonical text and typed branches of a variant."""
+    kind, plain = json_type(value), F.try_variant_get(value, "$", "string")
+    digits = F.length(F.regexp_replace(F.regexp_replace(plain, "[eE].*$", ""), r"^[-0.]+|[-.]", ""))
+    whole = kind.isin("object", "array") | ((kind == "number") & (digits > 15))
+    return F.struct(
+        kind.alias("kind"),
+        canonical_text(value).alias("text"),
+        F.when(kind == "string", plain).alias("string"),
+        F.when(kind == "number", F.try_variant_get(value, "$", "double")).alias("number"),
+        F.when(kind == "boolean", F.try_variant_get(value, "$", "boolean")).alias("boolean"),
+        F.when(whole, F.to_json(value)).alias("json"),
+    )
+
+
 def unified_records(raw: DataFrame, names: dict[str, list[str]]) -> DataFrame:
-    """One consistent table of all well-formed lines: the canonical value of each role and its typed branch.
+    """One consistent table of all well-formed lines: the canonical value of each role and its typed branches.
 
+    The delivered value is in the branch of its JSON type, ``..._string``, ``..._number`` (double), ``..._boolean`` or
+    ``..._json`` (objects and arrays as JSON text); numbers of more than 15 digits are in ``..._json`` too.
     Per role the first name whose value isn't null is read. Numbers are parsed from any branch; a bad or
     missing value takes the role's default (rating 0.0, votes 0, flag false, timestamp 0). Each role has
     a column ``..._type`` with the JSON type it was delivered in. Rows are not merged: a repeated line
@@ -232,8 +301,7 @@ def unified_records(raw: DataFrame, names: dict[str, list[str]]) -> DataFrame:
     parsed = parsed_lines(raw).filter(F.col("v").isNotNull())
     read = lambda n: F.try_variant_get("v", '$["' + n + '"]', "variant")
     first = [F.get(F.filter(F.array(*[read(n) for n in ns if '"' not in n]), lambda x: F.schema_of_variant(x) != "VOID"), 0) for ns in names.values()]
-    branches = F.transform(F.array(*first), lambda x: F.struct(json_type(x).alias("kind"), canonical_text(x).alias("text")))
-    chosen = parsed.select("feed_name", "file_name", "file_seq", "line_no", branches.alias("b"))
+    chosen = parsed.select("feed_name", "file_name", "file_seq", "line_no", F.transform(F.array(*first), _branches).alias("b"))
     text = {r: F.col("b")[i]["text"] for i, r in enumerate(names)}
     kind = {r: F.col("b")[i]["kind"] for i, r in enumerate(names)}
     truncated = lambda r, to: F.coalesce(text[r].try_cast("decimal(38,6)").try_cast(to), F.lit(0).cast(to))
@@ -250,4 +318,5 @@ def unified_records(raw: DataFrame, names: dict[str, list[str]]) -> DataFrame:
         F.coalesce(F.lower(text["verified_purchase"]) == "true", F.lit(False)).alias("verified_purchase"),
         truncated("helpful_votes", "int").alias("helpful_votes"),
         *[kind[r].alias(f"{r}_type") for r in names],
+        *[F.col("b")[i][t].alias(f"{r}_{t}") for i, r in enumerate(names) for t in ("string", "number", "boolean", "json")],
     )

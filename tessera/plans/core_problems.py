@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import drift, orphans, skew
 from tessera.plans.views import table
+from tessera.storage import Workspace
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -16,15 +17,21 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_report(spark: SparkSession, folder: str) -> DataFrame:
-    """Every change with its types, as text, before and after."""
-    c = drift.schema_changes(table(spark, folder, "raw_reviews"))
-    return c.select("feed_name", "file_seq", "file_name", "field_name", "old_name", "change_kind", F.array_join("old_types", "|").alias("old_types"), F.array_join("new_types", "|").alias("new_types"))
+    """Every change with its types, as text, before and after; ``path`` is '' for a field and else the place below it."""
+    raw = table(spark, folder, "raw_reviews")
+    changes = Workspace(spark, "report").save(drift.schema_changes(raw), "changes")
+    c = changes.withColumn("path", F.lit("")).unionByName(drift.nested_changes(raw, changes))
+    return c.select("feed_name", "file_seq", "file_name", "field_name", "path", "old_name", "change_kind", F.array_join("old_types", "|").alias("old_types"), F.array_join("new_types", "|").alias("new_types"))
 
 
 def p1_tagged_fields(spark: SparkSession, folder: str) -> DataFrame:
     return drift.tagged_fields(drift.parsed_lines(table(spark, folder, "raw_reviews")))
 
 
+def p1_tagged_paths(spark: SparkSession, folder: str) -> DataFrame:
+    return drift.tagged_paths(drift.parsed_lines(table(spark, folder, "raw_reviews")))
+
+
 def p1_unified(spark: SparkSession, folder: str) -> DataFrame:
     raw = table(spark, folder, "raw_reviews")
     return drift.unified_records(raw, drift.role_names(drift.schema_changes(raw)))
@@ -54,7 +61,7 @@ def p6_group_results(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_report, p1_tagged_fields, p1_unified, p4_found, p4_report, p6_found, p6_group_results)}
+    return {f.__name__: f for f in (p1_found, p1_report, p1_tagged_fields, p1_tagged_paths, p1_unified, p4_found, p4_report, p6_found, p6_group_results)}
 
 
 _ORPHANS = """WITH refs AS (

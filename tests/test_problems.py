@@ -52,6 +52,35 @@ def test_unified_records_keep_every_branch(spark):
     assert (rows[3].user_id, rows[3].user_id_type, rows[3].product_id, rows[3].rating, rows[3].product_id_type) == ("7", "number", None, 0.0, None)
 
 
+def test_unified_records_have_typed_branches(spark):
+    lines = [
+        {"user_id": 12345678901234567890, "parent_asin": {"depth": 1, "parent": "p"}, "text": {"body": "b", "format": 2}, "rating": 4.5, "verified_purchase": 1},
+        {"user_id": "u", "parent_asin": ["p", None], "text": None, "rating": "4.5", "verified_purchase": 0},
+        {"verified_purchase": True},
+    ]
+    a, b, c = sorted(drift.unified_records(raw(spark, {("f", 1): lines}), drift.ROLE_NAMES).collect(), key=lambda r: r.line_no)
+    assert (a.verified_purchase, a.verified_purchase_number, b.verified_purchase_number, c.verified_purchase_boolean) == (False, 1.0, 0.0, True)
+    assert json.loads(a.review_text_json) == lines[0]["text"] and json.loads(a.product_id_json) == lines[0]["parent_asin"]
+    assert json.loads(b.product_id_json) == ["p", None] and (b.product_id_string, b.review_text_json) == (None, None)
+    assert (a.user_id_json, a.rating_number, a.rating_string, a.rating_json, b.rating_string, b.rating_number) == ("12345678901234567890", 4.5, None, None, "4.5", None)
+
+
+def test_nested_type_changes(spark):
+    one = [{"a": {"x": 1, "l": [{"k\\\"": 1}, "s"]}, "text": {"body": "some words of a text", "n": 1}, "gone": {"z": 1}}]
+    two = [{"a": {"x": "1", "l": [{"k\\\"": None}, "s"], "y": None}, "reviewText": {"body": "some words of a text", "n": "1"}, "new": [1, 2]}]
+    df = raw(spark, {("f", 1): one, ("f", 2): two})
+    got = {(r.file_seq, r.field_name, r.path, r.json_type): r.n_values for r in drift.tagged_paths(drift.parsed_lines(df)).collect() if r.field_name in ("a", "new")}
+    k = r'["l"][*]["k\\\""]'
+    assert got == {
+        (1, "a", "", "object"): 1, (1, "a", '["x"]', "number"): 1, (1, "a", '["l"]', "array"): 1, (1, "a", '["l"][*]', "object"): 1, (1, "a", '["l"][*]', "string"): 1, (1, "a", k, "number"): 1,
+        (2, "a", "", "object"): 1, (2, "a", '["x"]', "string"): 1, (2, "a", '["l"]', "array"): 1, (2, "a", '["l"][*]', "object"): 1, (2, "a", '["l"][*]', "string"): 1, (2, "a", k, "null"): 1, (2, "a", '["y"]', "null"): 1,
+        (2, "new", "", "array"): 1, (2, "new", "[*]", "number"): 2,
+    }
+    nested = {(r.field_name, r.path, r.old_name, r.change_kind) for r in drift.nested_changes(df, drift.schema_changes(df)).collect()}
+    assert nested == {("a", '["x"]', None, "retyped"), ("a", k, None, "retyped"), ("a", '["y"]', None, "added"), ("reviewText", '["n"]', "text", "retyped")}
+    assert drift.tagged_paths(drift.parsed_lines(df.limit(0))).count() == 0
+
+
 def test_role_names_follow_renames(spark):
     text = lambda i: f"the {i} lamp fell from its shelf and broke in many pieces"
     files = {("f", s): [{name: text(i + 99 * s)} for i in range(20)] for s, name in ((1, "text"), (2, "wording"), (3, "prose"))}
