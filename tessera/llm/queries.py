@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import comb
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,8 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Every pair of products with a common basket: its count and its relation to chance."""
-    return cooccurrence.review_pairs(table(spark, folder, "enriched_reviews")).scores()
+    scores = cooccurrence.review_pairs(table(spark, folder, "enriched_reviews")).scores()
+    return scores.withColumn("npmi", F.round("npmi", 9))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -91,8 +93,7 @@ t AS (SELECT count(*) AS baskets FROM (SELECT DISTINCT user_id, day FROM b)),
 m AS (SELECT product_id, count(*) AS n FROM b GROUP BY 1),
 ab AS (SELECT x.product_id AS item_a, y.product_id AS item_b, count(*) AS n_ab FROM b x JOIN b y
   ON x.user_id = y.user_id AND x.day = y.day AND x.product_id < y.product_id GROUP BY 1, 2),
-s AS (SELECT item_a, item_b, n_ab, ma.n AS n_a, mb.n AS n_b, baskets FROM ab JOIN m ma ON ma.product_id = item_a JOIN m mb ON mb.product_id = item_b, t
-  WHERE n_ab >= 5 AND n_ab * baskets >= 4 * ma.n * mb.n)"""
+s AS (SELECT item_a, item_b, n_ab, ma.n AS n_a, mb.n AS n_b, baskets FROM ab JOIN m ma ON ma.product_id = item_a JOIN m mb ON mb.product_id = item_b, t)"""
 
 _COMPLETE = """WITH c AS (SELECT DISTINCT * FROM component_results),
 ok AS (SELECT * FROM c WHERE user_count IS NOT NULL AND edge_density IS NOT NULL AND average_repetition IS NOT NULL AND coordination_score IS NOT NULL
@@ -100,14 +101,31 @@ ok AS (SELECT * FROM c WHERE user_count IS NOT NULL AND edge_density IS NOT NULL
 r AS (SELECT *, count(*) OVER () AS n_rows, rank() OVER (ORDER BY user_count DESC) - 1 AS user_count_higher, rank() OVER (ORDER BY edge_density DESC) - 1 AS edge_density_higher,
   rank() OVER (ORDER BY average_repetition DESC) - 1 AS average_repetition_higher, rank() OVER (ORDER BY coordination_score DESC) - 1 AS coordination_score_higher FROM ok)"""
 
+
+
+def _tail(k: int, m: int = 4) -> str:
+    """The same sums and products, in the same order, as the operator's binomial tail over u[k]."""
+    x = f"u[{k}]"
+    return " + ".join("*".join([f"cast({comb(m, j)} AS double)", "*".join(["cast(1 AS double)", *[x] * j]).join("()"), "*".join(["cast(1 AS double)", *[f"(1 - {x})"] * (m - j)]).join("()")]) for j in range(k, m + 1)).join("()")
+
+
 _WORDS = "string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ')"
 
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "p2_found": f"{_BASKETS} SELECT item_a AS product_a, item_b AS product_b FROM s",
+        "p2_found": f"{_BASKETS} SELECT item_a AS product_a, item_b AS product_b FROM s WHERE n_ab >= 5 AND n_ab * baskets >= 4 * n_a * n_b",
+        "p2_scores": f"""{_BASKETS}, l AS (SELECT *, n_ab * cast(baskets AS double) / (cast(n_a AS double) * n_b) AS lift FROM s)
+  SELECT item_a, item_b, n_ab, n_a, n_b, baskets, lift,
+  CASE WHEN n_ab = baskets THEN cast(1 AS double) ELSE round(ln(lift) / -ln(n_ab / cast(baskets AS double)), 9) END AS npmi FROM l""",
         "p3_found": f"""{_COMPLETE} SELECT DISTINCT component_id FROM r
   WHERE user_count_higher * 10 < n_rows AND edge_density_higher * 10 < n_rows AND average_repetition_higher * 10 < n_rows AND coordination_score_higher * 10 < n_rows""",
+        "p3_ranking": f"""{_COMPLETE},
+  v AS (SELECT *, list_sort([cast(user_count_higher + 1 AS double) / n_rows, cast(edge_density_higher + 1 AS double) / n_rows,
+    cast(average_repetition_higher + 1 AS double) / n_rows, cast(coordination_score_higher + 1 AS double) / n_rows]) AS u FROM r),
+  w AS (SELECT *, least(cast(1 AS double), least({", ".join(_tail(k) for k in range(1, 5))}) * 4) AS significance FROM v)
+  SELECT component_id, user_count, edge_density, average_repetition, coordination_score, user_count_higher, edge_density_higher, average_repetition_higher,
+    coordination_score_higher, n_rows, significance, rank() OVER (ORDER BY significance) AS place FROM w""",
         "p5_found": """WITH RECURSIVE e AS (SELECT DISTINCT user_a AS a, user_b AS b FROM user_edges WHERE user_a <> user_b AND weight >= 3),
   l AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
   reach AS (SELECT a AS v, a AS w FROM l UNION SELECT r.v, l.b FROM reach r JOIN l ON r.w = l.a)

@@ -85,7 +85,7 @@ def test_ranks_equal_brute_force(spark):
     df = spark.createDataFrame(rows, "id string, x double, y double, z double").select("*", F.lit(1).alias("score"), F.lit(0).alias("X"), F.lit(0).alias("place"))
     full = [r for r in {repr(r): r for r in rows}.values() if all(v is not None and not math.isnan(v) for v in r[1:])]
     n = len(full)
-    got = {r.id: r for r in ranking.ranked_items(df, "id", SCORES, slices=3).collect()}
+    got = {r.id: r for r in ranking.ranked_items(df, "id", SCORES, values_per_slice=3).collect()}
     assert len(got) == n
     rho = {}
     for r in full:
@@ -110,6 +110,31 @@ def test_rank_ignores_scale(spark):
     assert place(df) == place(scaled)
 
 
+def test_head_of_the_ranking_has_no_ties(spark):
+    df = spark.range(60_000).select(F.col("id").cast("string").alias("id"), *[(F.col("id") * k).cast("double").alias(s) for k, s in enumerate(SCORES, 1)])
+    head = ranking.ranked_items(df, "id", SCORES, values_per_slice=9_000).orderBy("place").limit(50).collect()
+    assert [(r.place, r.id) for r in head] == [(k + 1, str(59_999 - k)) for k in range(50)]
+    assert head[0].significance == pytest.approx(3 * (1 / 60_000) ** 3, rel=1e-9, abs=0)
+    with pytest.raises(ValueError):
+        ranking.ranked_items(df, "id", [])
+
+
+def test_large_integers_do_not_tie(spark):
+    df = spark.createDataFrame([("a", 2**53, 1), ("b", 2**53 + 1, 1), ("c", -(2**53) - 1, 2)], "id string, x bigint, y int")
+    got = {r.id: (r.x_higher, r.y_higher) for r in ranking.ranked_items(df, "id", ["x", "y"]).collect()}
+    assert got == {"a": (1, 1), "b": (0, 1), "c": (2, 0)}
+
+
+def test_leaders_come_through_the_significance(spark):
+    df = spark.range(500).select(F.col("id").cast("string").alias("id"), *[F.pmod(F.xxhash64("id", F.lit(k)), F.lit(40)).cast("double").alias(s) for k, s in enumerate(SCORES)])
+    ranked = ranking.ranked_items(df, "id", SCORES)
+    by_ranks = ranked.filter(" and ".join(f"{s}_higher * 2 < n_rows" for s in SCORES))
+    assert by_ranks.count() > 20
+    assert {r.id for r in ranking.leading_items(ranked, SCORES, 2).collect()} == {r.id for r in by_ranks.collect()}
+    none = ranking.leading_items(ranked.withColumn("significance", F.lit(1.0)), SCORES, 2)
+    assert none.count() == 0
+
+
 def test_components_equal_union_find(spark):
     rnd = random.Random(9)
     rows = [(f"n{rnd.randrange(60):02d}", f"n{rnd.randrange(60):02d}", rnd.choice([1, 2, 3, 4, None])) for _ in range(70)]
