@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import PipelineConfig
 from tessera.functions.timebuckets import time_bucket
+from tessera.storage import Workspace
 
 
 def group_sizes(enriched: DataFrame, hours: int) -> DataFrame:
@@ -23,14 +24,16 @@ def candidate_groups(enriched: DataFrame, config: PipelineConfig = PipelineConfi
 
     A group of more than ``oversized_group_limit`` rows moves to the smaller buckets, once; repeated
     rows count. The bucket number carries no width, so equal numbers of either width share a group.
-    Sizes come from a partial aggregate and only oversized keys are joined back, so rows of a hot
-    group stay spread over the input tasks instead of meeting in one window partition.
+    Sizes come from a partial aggregate, and the oversized keys are written before they are joined
+    back: a small table is then broadcast by its size on disk, and otherwise both sides of the join are
+    plain shuffles, which the adaptive planner splits where one group holds very many rows.
     """
-    big = (
+    oversized = (
         group_sizes(enriched, config.initial_bucket_hours)
         .filter(F.col("group_rows") > config.oversized_group_limit)
         .select("product_id", F.col("bucket").alias("wide"), F.lit(True).alias("oversized"))
     )
+    big = Workspace(enriched.sparkSession, "oversized").save(oversized, "groups")
     rows = enriched.select(
         "user_id",
         "product_id",

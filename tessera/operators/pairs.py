@@ -12,24 +12,33 @@ from tessera.storage import Workspace
 def blocked_pairs(members: DataFrame, group: list[str], item: str, block_size: int = 512) -> DataFrame:
     """Every unordered pair of distinct items of a group, as ``item_a`` < ``item_b`` plus the group columns.
 
-    ``members`` has distinct rows. A group of n members is cut into ceil(n / block_size) blocks by a
-    hash of the item, and the join key holds a pair of blocks: no task ever sees more than two blocks
-    of a group, however large the group is. Groups of one member are dropped before the join; groups
-    of one block are not replicated. Null items and null group keys pair with nothing.
+    ``members`` has distinct rows and is read three times, so it should be a written table. Sizes are
+    combined before the shuffle; the keys of the groups above ``block_size``, no more than rows /
+    ``block_size``, are written first. Smaller groups are gathered as one bounded array each, by one
+    shuffle, and paired from it. A larger group is cut into ceil(n / block_size) blocks by a hash of
+    the item and its join key holds a pair of blocks, so no task ever sees more than two blocks of it.
+    Null items and null group keys pair with nothing.
     """
     keys = [F.col(g) for g in group]
     rows = members.select(*keys, F.col(item).alias("item")).na.drop()
-    sizes = rows.groupBy(*group).agg(F.count("*").alias("n")).filter("n > 1")
-    sized = rows.join(sizes, group).withColumn("blocks", F.ceil(F.col("n") / F.lit(block_size)).cast("int"))
-    placed = sized.withColumn("block", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
+    sizes = rows.groupBy(*group).agg(F.count("*").alias("n")).filter(F.col("n") > block_size)
+    big = Workspace(members.sparkSession, "big-groups").save(sizes.select(*group, F.ceil(F.col("n") / F.lit(block_size)).cast("int").alias("blocks")), "big")
+
+    gathered = rows.join(big, group, "left_anti").groupBy(*group).agg(F.array_sort(F.collect_list("item")).alias("all")).filter(F.size("all") > 1)
+    led = gathered.select(*group, "all", F.posexplode("all").alias("at", "item_a"))
+    small = led.select(*group, "item_a", F.explode(F.slice("all", F.col("at") + 2, F.size("all"))).alias("item_b"))
+
+    # both sides of this join are read from tables, so the adaptive planner splits a hot group's rows
+    placed = rows.join(big, group).withColumn("block", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
     last = F.col("blocks") - 1
     left = placed.select(*group, F.col("item").alias("x"), F.col("block").alias("bx"), F.explode(F.sequence("block", last)).alias("by"))
     right = placed.select(*group, F.col("item").alias("y"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("bx"), F.col("block").alias("by"))
-    return (
+    large = (
         left.join(right, [*group, "bx", "by"])
         .filter((F.col("bx") < F.col("by")) | (F.col("x") < F.col("y")))
         .select(*group, F.least("x", "y").alias("item_a"), F.greatest("x", "y").alias("item_b"))
     )
+    return small.unionByName(large)
 
 
 def group_members(groups: DataFrame) -> DataFrame:
@@ -49,13 +58,14 @@ def edges(groups: DataFrame, config: PipelineConfig = PipelineConfig()) -> DataF
 
     A user in fewer groups than that can't have an edge; such users leave before pairing, which
     changes no result and removes most of the pair volume. A pair occurs once per group, so its
-    weight is a plain count, combined before the shuffle. The members are written once, since pairing
-    reads them several times and their source may be costly.
+    weight is a plain count, combined before the shuffle. Members and active users are written once:
+    pairing reads them several times, and a join of two tables is split where one user is in very many groups.
     """
     space = Workspace(groups.sparkSession, "members")
     members = space.save(group_members(groups), "members")
-    active = members.groupBy("user_id").agg(F.count("*").alias("n")).filter(F.col("n") >= config.min_repeated_groups)
-    kept = space.save(members.join(active.select("user_id"), "user_id", "left_semi"), "kept")
+    counted = members.groupBy("user_id").agg(F.count("*").alias("n")).filter(F.col("n") >= config.min_repeated_groups)
+    active = space.save(counted.select("user_id"), "active")
+    kept = space.save(members.join(active, "user_id", "left_semi"), "kept")
     pairs = blocked_pairs(kept, ["product_id", "bucket"], "user_id", config.pair_block_size)
     return (
         pairs.groupBy(F.col("item_a").alias("user_a"), F.col("item_b").alias("user_b"))

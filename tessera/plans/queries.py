@@ -154,7 +154,7 @@ def symmetric_edges(spark: SparkSession, folder: str) -> DataFrame:
 
 def min_neighbour_labels(spark: SparkSession, folder: str) -> DataFrame:
     e = _stored_edges(spark, folder)
-    return graph.min_neighbour_labels(graph.symmetric(e), graph.initial_labels(e))
+    return graph.min_neighbour_labels(graph.symmetric(e), graph.component_labels(e, "as_coded"))
 
 
 def _labels(mode: str) -> Query:

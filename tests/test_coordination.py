@@ -112,3 +112,60 @@ def test_stream_of_reviews(spark, tmp_path):
     write_reviews(rows, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).first().review_text == "a b"
     assert stream_group_counts(rows).isStreaming
+
+
+@pytest.fixture
+def wide_joins(spark):
+    """No broadcasts, and skew splitting from a few KB on."""
+    own = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.shuffle.partitions": "8",
+    }
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def executed(df):
+    """The adaptive plan after running it."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_a_hot_group_are_split(spark, wide_joins, tmp_path):
+    hot = F.when(F.col("id") % 5 < 4, "hot").otherwise(F.concat(F.lit("p"), F.col("id") % 40))
+    rows = spark.range(0, 40_000, 1, 8).select(F.xxhash64("id").cast("string").alias("user_id"), hot.alias("product_id"), (F.col("id") % 86400 + 86400).alias("timestamp"))
+    rows.write.parquet(f"{tmp_path}/rows")
+    grouped = groups.candidate_groups(spark.read.parquet(f"{tmp_path}/rows"))
+    assert "skew=true" in executed(grouped)
+    assert grouped.count() == 40_000
+
+
+def test_links_of_a_hub_are_split(spark, wide_joins, tmp_path):
+    spark.range(1, 40_000, 1, 8).select(F.lit("a").alias("user_a"), F.concat(F.lit("b"), F.xxhash64("id")).alias("user_b")).write.parquet(f"{tmp_path}/edges")
+    edges = spark.read.parquet(f"{tmp_path}/edges")
+    labels = graph.component_labels(edges, "as_coded")
+    labels.write.parquet(f"{tmp_path}/labels")
+    assert "skew=true" in executed(graph.propagate(graph.symmetric(edges), spark.read.parquet(f"{tmp_path}/labels")))
+    assert {r.component_id for r in graph.bounded_labels(edges).select("component_id").distinct().collect()} == {"a"}
+
+
+def test_pairs_of_a_hot_group_are_made_in_blocks(spark, wide_joins, tmp_path):
+    hot = F.when(F.col("id") % 5 < 4, "hot").otherwise(F.concat(F.lit("p"), F.col("id") % 60))
+    spark.range(0, 1_500, 1, 4).select(hot.alias("g"), F.format_string("%05d", "id").alias("item")).write.parquet(f"{tmp_path}/m")
+    members = spark.read.parquet(f"{tmp_path}/m")
+    found = pairs.blocked_pairs(members, ["g"], "item", block_size=50)
+    sizes = [r["count"] for r in members.groupBy("g").count().collect()]
+    assert found.count() == found.distinct().count() == sum(n * (n - 1) // 2 for n in sizes)
+    assert found.filter("item_a >= item_b").count() == 0
+    # 24 blocks of the hot group make 300 keys of a pair of blocks; a task joins one of them at a time
+    rows = {r.g: r.n for r in found.groupBy("g").agg(F.count("*").alias("n")).collect()}
+    assert rows["hot"] == 1200 * 1199 // 2
