@@ -1,7 +1,7 @@
 """One group identifier for all records linked directly or indirectly.
 
 Alternating large-star and small-star rewrites of the edge set (Kiveris et al., Connected Components
-in MapReduce and Beyond, 2014): every rewrite is one grouped minimum and one join on the same key,
+in MapReduce and Beyond, 2014): every rewrite is one grouped minimum and one join with it,
 and the number of rounds grows with the logarithm of the graph, not with the length of its chains.
 """
 
@@ -22,22 +22,23 @@ def links_of(edges: DataFrame, a: str = "user_a", b: str = "user_b", weight: str
     return kept.filter(x.isNotNull() & y.isNotNull() & (x != y)).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct()
 
 
-def large_star(links: DataFrame) -> DataFrame:
-    """Connect every larger neighbour of each u to the least of u's neighbourhood.
+def least_below(links: DataFrame) -> DataFrame:
+    """(w, m): the least smaller neighbour m of every w that has one, combined before the shuffle."""
+    return links.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
 
-    The minimum is combined before the shuffle; the join back on u is split by the adaptive planner
-    where one u has very many neighbours, since the other side holds one row per u."""
-    both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    larger = both.filter(F.col("v") > F.col("u"))
-    return larger.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
+def large_star(links: DataFrame, least: DataFrame) -> DataFrame:
+    """Connect every larger neighbour u of each v to the least of v and v's neighbours.
 
-def small_star(links: DataFrame) -> DataFrame:
+    Links hold u > v, so that least is ``least_below`` of v, or v itself; ``least`` is that table, written
+    out. Rows may repeat."""
+    return links.join(least, links.v == least.w, "left").select("u", F.coalesce("m", "v").alias("v"))
+
+
+def small_star(links: DataFrame, least: DataFrame) -> DataFrame:
     """Connect every smaller neighbour of each u, and u, to the least of them. Links hold u > v."""
-    least = links.groupBy("u").agg(F.min("v").alias("m"))
-    moved = links.join(least, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+    moved = links.join(least, links.u == least.w).filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.union(least.select("w", "m")).distinct()
 
 
 def _state(links: DataFrame) -> tuple:
@@ -48,8 +49,10 @@ def _state(links: DataFrame) -> tuple:
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(member, group_id): every linked record with the least identifier of its component.
 
-    ``links`` has the columns u > v without repeats, of any ordered type. Each round is written to the
-    shared folder and the one before is deleted. An empty edge set gives an empty result. The loop ends
+    ``links`` has the columns u > v without repeats, of any ordered type. Each round and its table of
+    minima are written to the shared folder and the ones before are deleted; so both sides of every join
+    are read from tables, the one with the minima has one row per record, and the adaptive planner
+    splits the links of a hub. An empty edge set gives an empty result. The loop ends
     when a round leaves the edges unchanged (same count and hashes); then they are stars around the
     least member.
     """
@@ -57,11 +60,13 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     now, name = space.save(links, "round-0"), "round-0"
     state = _state(now)
     for i in range(1, max_rounds + 1):
-        half = space.save(large_star(now), f"half-{i}")
-        new = space.save(small_star(half), f"round-{i}")
+        below = space.save(least_below(now), f"below-{i}")
+        half = space.save(large_star(now, below), f"half-{i}")
+        under = space.save(least_below(half), f"under-{i}")
+        new = space.save(small_star(half, under), f"round-{i}")
         after = _state(new)
-        space.drop(f"half-{i}")
-        space.drop(name)
+        for old in (f"below-{i}", f"half-{i}", f"under-{i}", name):
+            space.drop(old)
         now, name = new, f"round-{i}"
         if after == state:
             roots = now.select(F.col("v").alias("member")).distinct()

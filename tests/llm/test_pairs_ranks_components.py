@@ -155,3 +155,31 @@ def test_components_equal_union_find(spark):
     got = [tuple(r) for r in components.connected_components(components.links_of(df)).collect()]
     assert dict(got) == {x: root(x) for x in parent} and len(got) == len(parent)
     assert components.connected_components(components.links_of(df.limit(0))).count() == 0
+
+
+def test_links_of_a_hub_are_split(spark, tmp_path):
+    own = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.shuffle.partitions": "8",
+    }
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        hash_of = F.concat(F.lit("m"), F.xxhash64("id"))
+        rows = spark.range(0, 30_000, 1, 8).select(F.when(F.col("id") % 5 < 4, hash_of).otherwise(F.lit("z")).alias("u"), F.when(F.col("id") % 5 < 4, F.lit("hub")).otherwise(hash_of).alias("v"))
+        rows.write.parquet(f"{tmp_path}/links")
+        links = spark.read.parquet(f"{tmp_path}/links")
+        components.least_below(links).write.parquet(f"{tmp_path}/least")
+        least = spark.read.parquet(f"{tmp_path}/least")
+        for star in (components.large_star, components.small_star):
+            df = star(links, least)
+            df.collect()
+            assert "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
