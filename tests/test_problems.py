@@ -94,8 +94,6 @@ def _orphans_by_hand(children, parents):
         if not key:
             continue
         own = [p for p in parents if p[0] == key]
-        if own and at is None:
-            continue
         past = [p for p in own if p[1] is not None and at is not None and p[1] <= at]
         if not own:
             kind = "missing"
@@ -126,6 +124,21 @@ def test_orphans_equal_brute_force(spark):
     assert orphans.orphan_references([r.limit(0) for r in refs], p, "k", "at", "gone").count() == 0
 
 
+def test_a_hot_day_is_cut_down_to_instants(spark):
+    """One key, one day, many parent records: references between them, some within one second and one instant."""
+    rnd = random.Random(7)
+    day = dt.datetime(2022, 5, 3, 11)
+    t = lambda: day + dt.timedelta(minutes=rnd.randrange(3), seconds=rnd.randrange(2), microseconds=rnd.randrange(4))
+    children = [("x", "hot", t()) for _ in range(300)] + [("y", "hot", None), ("y", "no", None), ("y", "untimed", day)]
+    parents = [("hot", t(), rnd.random() < 0.5) for _ in range(12)] + [("untimed", None, False)]
+    c, p = spark.createDataFrame(children, "t string, k string, at timestamp_ntz"), spark.createDataFrame(parents, "k string, at timestamp_ntz, gone boolean")
+    refs = [orphans.references(c.filter(F.col("t") == n), n, "k", "at") for n in ("x", "y")]
+    want = _orphans_by_hand(children, parents)
+    assert want["y", None, "hot", "late"] == 1 and want["y", None, "no", "missing"] == 1 and want["y", "2022-05", "untimed", "late"] == 1
+    for widths in (orphans.CELLS, (86_400_000_000, 1), (1,)):
+        assert {tuple(r)[:4]: r.n_refs for r in orphans.orphan_references(refs, p, "k", "at", "gone", widths).collect()} == want
+
+
 def test_skewed_groups(spark):
     rows = [("hot", f"u{i % 7}", 86400 * 3 + i, 2.0, 1) for i in range(41)] + [("hot", None, 86400 * 5000, None, None)] * 2
     rows += [("cold", "u", (86400 * 9000 + 5) * 1000, 1.0, 1), ("", "u", 5, 1.0, 1), (None, "u", 5, 1.0, 1), ("cold", "u", 0, 1.0, 1), ("cold", "u", None, 1.0, 1)]
