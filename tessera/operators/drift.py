@@ -8,10 +8,14 @@ whatever the size of the files, what is shuffled by feed is one row per file and
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.functions.coerce import INTEGER_TEXT
 from tessera.functions.columns import pick
 from tessera.functions.timebuckets import to_seconds
 from tessera.storage import Workspace
@@ -28,10 +32,14 @@ ROLE_NAMES = {
 }
 #: Columns of the input; others are ignored.
 LINE_COLUMNS = ["feed_name", "file_name", "file_seq", "line_no", "payload"]
-#: Largest number of distinct field names of one role that are read one by one from each line.
-MAX_ROLE_NAMES = 500
 #: Least similarity of the contents of two fields, one gone and one new, that makes a rename.
 RENAME_SIMILARITY = 0.6
+#: What a difference in the share of lines beyond its sampling error takes off the similarity.
+PRESENCE_WEIGHT = 3.0
+#: The sampling error in standard errors.
+PRESENCE_ERRORS = 1.5
+#: Classes of first characters in a field's profile, a power of two.
+OPENINGS = 32
 
 
 def parsed_lines(raw: DataFrame) -> DataFrame:
@@ -125,12 +133,13 @@ def tagged_paths(parsed: DataFrame) -> DataFrame:
 
 
 def _profiles(parsed: DataFrame) -> DataFrame:
-    """Per file and field: its set of types and the means that describe its contents."""
+    """Per file and field: its set of types and the measures that describe its contents."""
     text = F.col("text")
     number = text.try_cast("double")
     words = F.size(F.split(F.trim(text), r"\s+")).cast("double")
     share = lambda test: F.avg(F.when(text.isNotNull(), test.cast("double")))
     types = F.sort_array(F.collect_set("json_type"))  # at most five values
+    opening = F.ascii(text).bitwiseAND(F.lit(OPENINGS - 1))  # upper and lower case fall together
     values = field_values(parsed)
     per_field = values.groupBy("feed_name", "file_seq", "file_name", "field_name").agg(
         types.alias("types"),
@@ -138,18 +147,16 @@ def _profiles(parsed: DataFrame) -> DataFrame:
         F.count("text").alias("filled"),
         F.avg(F.length(text)).alias("chars"),
         F.avg(words).alias("words"),
-        F.stddev_pop(F.length(text)).alias("chars_sd"),
         share(number.isNotNull()).alias("numeric"),
         share(F.lower(text).isin("true", "false")).alias("truth"),
         share(text.rlike("[A-Z]")).alias("upper"),
         share(text.rlike("[a-z]")).alias("lower"),
         share(number == 0).alias("zero"),
         F.avg(F.log10(F.abs(number) + 1)).alias("magnitude"),
-        F.max(number).alias("highest"),
-        (F.approx_count_distinct(text) / F.greatest(F.count(text), F.lit(1))).alias("variety"),
-        F.mode(F.substring(text, 1, 2), True).alias("opening"),
+        F.approx_count_distinct(text).cast("double").alias("distinct"),
+        F.array(*[share(opening == i) for i in range(OPENINGS)]).alias("openings"),
     )
-    lines = parsed.filter(F.col("v").isNotNull()).groupBy("feed_name", "file_seq").agg(F.count("*").alias("n_lines"))
+    lines = parsed.filter(F.col("v").isNotNull()).groupBy("feed_name", "file_seq").agg(F.count("*").cast("double").alias("n_lines"))
     return per_field.join(lines, ["feed_name", "file_seq"]).withColumn("presence", F.col("lines") / F.col("n_lines"))
 
 
@@ -161,19 +168,26 @@ def _role(name: Column) -> Column:
 
 
 def _similarity(g: str, n: str) -> Column:
-    """0 to 1: how alike the contents of a gone and a new field are, whatever their JSON types."""
+    """0 to 1: how alike the contents of a gone and a new field are, whatever their JSON types.
+
+    Factors: size (of numbers their order of magnitude and share of zeros, of texts their length, words and
+    letters), what the values begin with, the share of numbers and of truth values, the share of lines that
+    have the field beyond its sampling error, and the number of different values, absolutely or per line."""
     a, b = (lambda c: F.coalesce(F.col(f"{g}.{c}"), F.lit(0.0))), (lambda c: F.coalesce(F.col(f"{n}.{c}"), F.lit(0.0)))
     near = lambda c: F.lit(1.0) - F.abs(a(c) - b(c))
-    ratio = lambda c, plus: F.least(a(c) + plus, b(c) + plus) / F.greatest(a(c) + plus, b(c) + plus)
-    both_numeric = (a("numeric") > 0.9) & (b("numeric") > 0.9)
-    values = F.when(
-        both_numeric,
-        ratio("magnitude", 0.1) * near("zero") * F.when((a("highest") <= 5) != (b("highest") <= 5), 0.6).otherwise(1.0),
-    ).otherwise(ratio("chars", 2.0) * F.sqrt(ratio("words", 0.5)) * (0.6 + 0.2 * near("upper") + 0.2 * near("lower")))
+    quotient = lambda x, y, plus: F.least(x + plus, y + plus) / F.greatest(x + plus, y + plus)
+    ratio = lambda c, plus: quotient(a(c), b(c), plus)
+    numbers = ratio("magnitude", 0.1) * near("zero")
+    texts = ratio("chars", 2.0) * F.sqrt(ratio("words", 0.5)) * (0.6 + 0.2 * near("upper") + 0.2 * near("lower"))
+    begun = F.aggregate(F.zip_with(f"{g}.openings", f"{n}.openings", lambda x, y: F.coalesce(F.sqrt(x * y), F.lit(0.0))), F.lit(0.0), lambda x, y: x + y)
+    values = F.when((a("numeric") > 0.9) & (b("numeric") > 0.9), numbers).otherwise(texts) * (0.5 + 0.5 * begun)
     kinds = near("truth") * (0.5 + 0.5 * near("numeric"))
-    opening = F.when((F.col(f"{g}.opening") == F.col(f"{n}.opening")) & (F.least(a("words"), b("words")) < 1.5), 1.15).otherwise(1.0)
-    presence = F.greatest(F.lit(0.0), 1.0 - 1.2 * F.abs(a("presence") - b("presence")))
-    return F.least(F.lit(1.0), F.sqrt(values) * kinds * opening * (0.4 + 0.6 * presence) * (0.7 + 0.3 * ratio("variety", 0.05)))
+    both = (a("presence") * a("n_lines") + b("presence") * b("n_lines")) / (a("n_lines") + b("n_lines"))
+    error = F.sqrt(both * (1 - both) * (1 / a("n_lines") + 1 / b("n_lines")))
+    presence = F.greatest(F.lit(0.0), 1 - PRESENCE_WEIGHT * F.greatest(F.lit(0.0), F.abs(a("presence") - b("presence")) - PRESENCE_ERRORS * error))
+    per_value = lambda side: side("distinct") / F.greatest(side("filled"), F.lit(1))
+    variety = F.greatest(ratio("distinct", 1.0), quotient(per_value(a), per_value(b), 0.05))
+    return F.sqrt(values) * kinds * presence * (0.7 + 0.3 * variety)
 
 
 def _steps(raw: DataFrame) -> DataFrame:
@@ -183,13 +197,52 @@ def _steps(raw: DataFrame) -> DataFrame:
     return files.withColumn("before", F.lag("file_seq").over(order)).filter("before is not null")
 
 
+def _blocks(side: str, name: str, spread: bool) -> Column:
+    """Keys under which a field can meet a field of the other side that is similar enough.
+
+    A similarity of RENAME_SIMILARITY needs sizes within the factor 1 / RENAME_SIMILARITY^2: orders of
+    magnitude if both fields hold numbers, lengths otherwise. Alternatives of one role always meet."""
+    width = -2 * math.log(RENAME_SIMILARITY) + 1e-6
+    at = lambda c, plus: F.floor(F.log(F.coalesce(F.col(f"{side}.{c}"), F.lit(0.0)) + plus) / width)
+    near = lambda kind, b: [F.concat(F.lit(kind), (b + d).cast("string")) for d in ((-1, 0, 1) if spread else (0,))]
+    return F.array_compact(F.array(F.concat(F.lit("role "), _role(F.col(name))), *near("size ", at("magnitude", 0.1)), *near("length ", at("chars", 2.0))))
+
+
+def _candidates(fresh: DataFrame, gone: DataFrame) -> DataFrame:
+    """Scored pairs of a new and a gone field of one file that may be a rename; a pair meets under one key only."""
+    key = ["feed_name", "file_seq"]
+    known, was = _role(F.col("field_name")), _role(F.col("old_name"))
+    same, other = F.coalesce(known == was, F.lit(False)), F.coalesce(known != was, F.lit(False))
+    left = fresh.withColumn("block", F.explode(_blocks("n", "field_name", True)))
+    right = gone.withColumn("block", F.explode(_blocks("g", "old_name", False)))
+    numbers = (F.coalesce(F.col("g.numeric"), F.lit(0.0)) > 0.9) & (F.coalesce(F.col("n.numeric"), F.lit(0.0)) > 0.9)
+    place = F.when(same, "role").when(numbers, "size").otherwise("length")
+    met = left.join(right, [*key, "block"]).filter(~other & F.col("block").startswith(place))
+    scored = met.withColumn("score", _similarity("g", "n") + same.cast("double")).filter(F.col("score") >= RENAME_SIMILARITY)
+    return scored.select(*key, "field_name", "old_name", "score", F.col("g.types").alias("old_types"), F.col("n.types").alias("new_types"))
+
+
+def _mutual_best(scored: DataFrame, space: Workspace) -> DataFrame:
+    """Pairs that are each other's best; then of the fields left over again, until no pair is left."""
+    key = ["feed_name", "file_seq"]
+    best = lambda mine, other: F.row_number().over(Window.partitionBy(*key, mine).orderBy(F.desc("score"), other))
+    chosen, left, i = [], scored, 0
+    while not chosen or not left.isEmpty():
+        ranked = left.withColumn("x", best("field_name", "old_name")).withColumn("y", best("old_name", "field_name"))
+        now = space.save(ranked.filter("x = 1 and y = 1").drop("x", "y"), f"chosen-{i}")
+        chosen.append(now)
+        rest = left.join(now.select(*key, "field_name"), [*key, "field_name"], "left_anti").join(now.select(*key, "old_name"), [*key, "old_name"], "left_anti")
+        left, i = space.save(rest.select(*scored.columns), f"left-{i}"), i + 1
+    return reduce(DataFrame.unionByName, chosen)
+
+
 def schema_changes(raw: DataFrame) -> DataFrame:
     """(feed_name, file_seq, file_name, field_name, old_name, change_kind, old_types, new_types).
 
     Each file is compared with the one of the same feed that precedes it in ``file_seq``; files without
     a well-formed line have no fields. A rename is a new and a gone field that are each other's best
-    match: alternatives of one role count as alike, of two different roles never do, and all other
-    names go by content alone. Exact ties go to the smaller name.
+    match among those not yet matched: alternatives of one role count as alike, of two different roles
+    never do, and all other names go by content alone. Exact ties go to the smaller name.
     """
     space = Workspace(raw.sparkSession, "drift")
     parsed = parsed_lines(raw)
@@ -202,12 +255,9 @@ def schema_changes(raw: DataFrame) -> DataFrame:
     sides = space.save(new.join(old, ["feed_name", "file_seq", "field_name"], "full"), "sides")
     gone = sides.filter("n is null").select("feed_name", "file_seq", F.col("field_name").alias("old_name"), "g")
     fresh = sides.filter("g is null").select("feed_name", "file_seq", "field_name", "n")
-    known, was = _role(F.col("field_name")), _role(F.col("old_name"))
-    alike = F.when(known == was, 1.0 + _similarity("g", "n")).when(known != was, 0.0).otherwise(_similarity("g", "n"))
-    scored = fresh.join(gone, ["feed_name", "file_seq"]).withColumn("score", alike).filter(F.col("score") >= RENAME_SIMILARITY)
-    best = lambda mine, other: F.row_number().over(Window.partitionBy("feed_name", "file_seq", mine).orderBy(F.desc("score"), other))
-    chosen = scored.withColumn("x", best("field_name", "old_name")).withColumn("y", best("old_name", "field_name")).filter("x = 1 and y = 1")
-    renamed = chosen.select("feed_name", "file_seq", "field_name", "old_name", F.col("g.types").alias("old_types"), F.col("n.types").alias("new_types"))
+    scored = space.save(_candidates(fresh, gone), "scored")
+    chosen = _mutual_best(scored, space)
+    renamed = chosen.select("feed_name", "file_seq", "field_name", "old_name", "old_types", "new_types")
     key = ["feed_name", "file_seq"]
     added = fresh.join(renamed.select(*key, "field_name"), [*key, "field_name"], "left_anti")
     removed = gone.join(renamed.select(*key, "old_name"), [*key, "old_name"], "left_anti")
@@ -247,76 +297,105 @@ def nested_changes(raw: DataFrame, changes: DataFrame) -> DataFrame:
     return changed.join(steps.select(*key, "file_name"), key).select(*key, "file_name", "field_name", "path", "old_name", "change_kind", "old_types", "new_types")
 
 
-def role_names(changes: DataFrame, rounds: int = 4) -> dict[str, list[str]]:
-    """Names that carry each role: the known alternatives and, through renames, the names feeds use.
+def role_names(raw: DataFrame, changes: DataFrame) -> DataFrame:
+    """(feed_name, field_name, role, evidence): the names besides those of ROLE_NAMES that carry a role in a feed.
 
-    A name that no alternative covers takes the role of the names it was renamed from or to most
-    often; ``rounds`` steps follow chains of such names. Counts per pair of names are aggregated
-    before they reach the driver, which refuses more than MAX_ROLE_NAMES of them.
+    A name takes the role of the names it was renamed from or to most often in its own feed (evidence
+    ``own``), step by step along chains of renames until no name gains a role; ties go to the smaller
+    role. A name without such evidence takes the role that all feeds with evidence agree on (``others``);
+    where they disagree it has none. All of it is one row per feed and name, in tables.
     """
-    pairs = changes.filter("change_kind = 'renamed'").groupBy("old_name", "field_name").count().limit(MAX_ROLE_NAMES**2 + 1).collect()
-    role = {n: r for r, names in ROLE_NAMES.items() for n in names}
-    for _ in range(rounds):
-        votes: dict[str, dict[str, int]] = {}
-        for old, new, k in pairs:
-            for name, other in ((old, new), (new, old)):
-                if name not in role and other in role:
-                    at = votes.setdefault(name, {})
-                    at[role[other]] = at.get(role[other], 0) + k
-        role |= {name: max(sorted(at), key=at.get) for name, at in votes.items()}
-    out = {r: list(names) for r, names in ROLE_NAMES.items()}
-    for name in sorted(role):
-        if name not in out[role[name]]:
-            out[role[name]].append(name)
-    if sum(map(len, out.values())) > MAX_ROLE_NAMES:
-        raise ValueError(f"more than {MAX_ROLE_NAMES} field names carry the roles")
-    return out
+    space = Workspace(raw.sparkSession, "roles")
+    pairs = changes.filter("change_kind = 'renamed'").groupBy("feed_name", "old_name", "field_name").agg(F.count("*").alias("k"))
+    both = pairs.select("feed_name", F.col("old_name").alias("name"), F.col("field_name").alias("other"), "k").unionByName(pairs.select("feed_name", F.col("field_name").alias("name"), F.col("old_name").alias("other"), "k"))
+    links = space.save(both.filter(_role(F.col("name")).isNull()), "links")
+    own = space.save(links.select("feed_name", "name", F.lit("").alias("role")).limit(0), "own-0")
+    i, fresh = 0, None
+    while fresh is None or not fresh.isEmpty():
+        known = own.select("feed_name", F.col("name").alias("other"), "role")
+        reached = links.join(known, ["feed_name", "other"], "left").withColumn("role", F.coalesce("role", _role(F.col("other")))).filter("role is not null")
+        votes = reached.join(own, ["feed_name", "name"], "left_anti").groupBy("feed_name", "name", "role").agg(F.sum("k").alias("k"))
+        first = F.row_number().over(Window.partitionBy("feed_name", "name").orderBy(F.desc("k"), "role"))
+        fresh = space.save(votes.withColumn("x", first).filter("x = 1").select("feed_name", "name", "role"), f"fresh-{i}")
+        own, i = space.save(own.unionByName(fresh), f"own-{i + 1}"), i + 1
+    agreed = own.groupBy("name").agg(F.min("role").alias("role"), F.max("role").alias("most")).filter("role = most").select("name", "role")
+    met = tagged_fields(parsed_lines(raw)).select("feed_name", F.col("field_name").alias("name")).distinct()
+    lent = met.filter(_role(F.col("name")).isNull()).join(own, ["feed_name", "name"], "left_anti").join(agreed, "name").select("feed_name", "name", "role", F.lit("others").alias("evidence"))
+    return own.withColumn("evidence", F.lit("own")).unionByName(lent).withColumnRenamed("name", "field_name")
+
+
+def line_counts(raw: DataFrame) -> DataFrame:
+    """(feed_name, file_seq, file_name, lines, well_formed, malformed) of every file; only well-formed lines become records."""
+    good = F.count("v")
+    return parsed_lines(raw).groupBy("feed_name", "file_seq", "file_name").agg(F.count("*").alias("lines"), good.alias("well_formed"), (F.count("*") - good).alias("malformed"))
 
 
 def _branches(value: Column) -> Column:
-    """JSON type, canonical text and typed branches of a variant."""
-    kind, plain = json_type(value), F.try_variant_get(value, "$", "string")
+    """JSON type, canonical text and typed branches of a variant, and what it is as a number, whole number and flag."""
+    kind, plain, text = json_type(value), F.try_variant_get(value, "$", "string"), canonical_text(value)
     digits = F.length(F.regexp_replace(F.regexp_replace(plain, "[eE].*$", ""), r"^[-0.]+|[-.]", ""))
     whole = kind.isin("object", "array") | ((kind == "number") & (digits > 15))
+    integer = F.when(kind == "number", text.try_cast("decimal(38,6)")).when((kind != "boolean") & text.rlike(INTEGER_TEXT), text.try_cast("decimal(38,6)"))
     return F.struct(
         kind.alias("kind"),
-        canonical_text(value).alias("text"),
+        text.alias("text"),
         F.when(kind == "string", plain).alias("string"),
         F.when(kind == "number", F.try_variant_get(value, "$", "double")).alias("number"),
         F.when(kind == "boolean", F.try_variant_get(value, "$", "boolean")).alias("boolean"),
         F.when(whole, F.to_json(value)).alias("json"),
+        F.coalesce(F.when(kind != "boolean", text.try_cast("double")), F.lit(0.0)).alias("as_double"),
+        F.coalesce(integer.try_cast("bigint"), F.lit(0).cast("bigint")).alias("as_long"),
+        F.coalesce(integer.try_cast("int"), F.lit(0)).alias("as_int"),
+        F.coalesce(F.lower(text) == "true", F.lit(False)).alias("as_flag"),
     )
 
 
-def unified_records(raw: DataFrame, names: dict[str, list[str]]) -> DataFrame:
+def unified_records(raw: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """One consistent table of all well-formed lines: the canonical value of each role and its typed branches.
 
-    The delivered value is in the branch of its JSON type, ``..._string``, ``..._number`` (double), ``..._boolean`` or
-    ``..._json`` (objects and arrays as JSON text); numbers of more than 15 digits are in ``..._json`` too.
-    Per role the first name whose value isn't null is read. Numbers are parsed from any branch; a bad or
-    missing value takes the role's default (rating 0.0, votes 0, flag false, timestamp 0). Each role has
-    a column ``..._type`` with the JSON type it was delivered in. Rows are not merged: a repeated line
-    comes out repeatedly.
+    ``names`` are further names per feed as ``role_names`` gives them; those of ROLE_NAMES hold everywhere
+    and go first. Of several names of a role on one line the first whose value isn't null is read; of the
+    flag the first that is true, if any is, and of the votes the first that isn't 0, if any is. A bad or missing value takes
+    the role's default (rating 0.0, votes 0, flag false, timestamp 0): numbers are truncated to whole ones,
+    text must be a whole number for votes and timestamp; a flag is true or the text "true" in any case.
+    An array or object counts as its canonical text.
+
+    The delivered value is in the branch of its JSON type, ``..._string``, ``..._number`` (double),
+    ``..._boolean`` or ``..._json`` (objects and arrays as JSON text); numbers of more than 15 digits are in
+    ``..._json`` too. ``..._type`` is the JSON type and ``..._name`` the field it was delivered in. Rows are not
+    merged: a repeated line comes out repeatedly. Malformed lines are counted by ``line_counts``.
     """
-    parsed = parsed_lines(raw).filter(F.col("v").isNotNull())
-    read = lambda n: F.try_variant_get("v", '$["' + n + '"]', "variant")
-    first = [F.get(F.filter(F.array(*[read(n) for n in ns if '"' not in n]), lambda x: F.schema_of_variant(x) != "VOID"), 0) for ns in names.values()]
-    chosen = parsed.select("feed_name", "file_name", "file_seq", "line_no", F.transform(F.array(*first), _branches).alias("b"))
-    text = {r: F.col("b")[i]["text"] for i, r in enumerate(names)}
-    kind = {r: F.col("b")[i]["kind"] for i, r in enumerate(names)}
-    truncated = lambda r, to: F.coalesce(text[r].try_cast("decimal(38,6)").try_cast(to), F.lit(0).cast(to))
+    parsed = parsed_lines(raw).filter(F.col("v").isNotNull()).withColumn("m", F.try_variant_get("v", "$", "map<string,variant>"))
+    if names is None:
+        parsed = parsed.withColumn("more", F.lit(None).cast("map<string,array<string>>"))
+    else:
+        listed = names.groupBy("feed_name", "role").agg(F.array_sort(F.collect_list(F.struct(F.col("evidence") != "own", "field_name"))).alias("l"))
+        per_role = F.struct("role", F.transform("l", lambda x: x["field_name"]).alias("names"))
+        more = listed.groupBy("feed_name").agg(F.map_from_entries(F.collect_list(per_role)).alias("more"))
+        parsed = parsed.join(Workspace(raw.sparkSession, "names").save(more, "more"), "feed_name", "left")
+
+    def pick_value(role: str) -> Column:
+        all_names = F.concat(F.array(*map(F.lit, ROLE_NAMES[role])), F.coalesce(F.element_at("more", role), F.array().cast("array<string>")))
+        there = F.filter(all_names, lambda n: F.coalesce(F.schema_of_variant(F.element_at("m", n)) != "VOID", F.lit(False)))
+        found = F.transform(there, lambda n: F.struct(n.alias("name"), _branches(F.element_at("m", n)).alias("b")))
+        wanted = {"verified_purchase": lambda x: x["b"]["as_flag"], "helpful_votes": lambda x: x["b"]["as_int"] != 0}.get(role)
+        return F.get(found, 0) if wanted is None else F.coalesce(F.get(F.filter(found, wanted), 0), F.get(found, 0))
+
+    chosen = parsed.select("feed_name", "file_name", "file_seq", "line_no", *[pick_value(r).alias(r) for r in ROLE_NAMES])
+    b = lambda r: F.col(f"{r}.b")
     return chosen.select(
         "feed_name",
         "file_name",
         "file_seq",
         "line_no",
-        text["user_id"].alias("user_id"),
-        text["product_id"].alias("product_id"),
-        text["review_text"].alias("review_text"),
-        F.coalesce(text["rating"].try_cast("double"), F.lit(0.0)).alias("rating"),
-        to_seconds(truncated("timestamp", "bigint")).alias("timestamp"),
-        F.coalesce(F.lower(text["verified_purchase"]) == "true", F.lit(False)).alias("verified_purchase"),
-        truncated("helpful_votes", "int").alias("helpful_votes"),
-        *[kind[r].alias(f"{r}_type") for r in names],
-        *[F.col("b")[i][t].alias(f"{r}_{t}") for i, r in enumerate(names) for t in ("string", "number", "boolean", "json")],
+        b("user_id")["text"].alias("user_id"),
+        b("product_id")["text"].alias("product_id"),
+        b("review_text")["text"].alias("review_text"),
+        F.coalesce(b("rating")["as_double"], F.lit(0.0)).alias("rating"),
+        to_seconds(F.coalesce(b("timestamp")["as_long"], F.lit(0).cast("bigint"))).alias("timestamp"),
+        F.coalesce(b("verified_purchase")["as_flag"], F.lit(False)).alias("verified_purchase"),
+        F.coalesce(b("helpful_votes")["as_int"], F.lit(0)).alias("helpful_votes"),
+        *[b(r)["kind"].alias(f"{r}_type") for r in ROLE_NAMES],
+        *[F.col(f"{r}.name").alias(f"{r}_name") for r in ROLE_NAMES],
+        *[b(r)[t].alias(f"{r}_{t}") for r in ROLE_NAMES for t in ("string", "number", "boolean", "json")],
     )

@@ -32,9 +32,28 @@ def p1_tagged_paths(spark: SparkSession, folder: str) -> DataFrame:
     return drift.tagged_paths(drift.parsed_lines(table(spark, folder, "raw_reviews")))
 
 
+def _roles(spark: SparkSession, raw: DataFrame) -> DataFrame:
+    changes = Workspace(spark, "changes").save(drift.schema_changes(raw), "changes")
+    return drift.role_names(raw, changes)
+
+
+def p1_roles(spark: SparkSession, folder: str) -> DataFrame:
+    """The names besides the known alternatives that carry a role in a feed."""
+    return _roles(spark, table(spark, folder, "raw_reviews"))
+
+
 def p1_unified(spark: SparkSession, folder: str) -> DataFrame:
     raw = table(spark, folder, "raw_reviews")
-    return drift.unified_records(raw, drift.role_names(drift.schema_changes(raw)))
+    return drift.unified_records(raw, _roles(spark, raw))
+
+
+def p1_known_names(spark: SparkSession, folder: str) -> DataFrame:
+    """The unified table under the known names alone."""
+    return drift.unified_records(table(spark, folder, "raw_reviews"))
+
+
+def p1_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return drift.line_counts(table(spark, folder, "raw_reviews"))
 
 
 def _orphans(spark: SparkSession, folder: str) -> DataFrame:
@@ -61,7 +80,7 @@ def p6_group_results(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_report, p1_tagged_fields, p1_tagged_paths, p1_unified, p4_found, p4_report, p6_found, p6_group_results)}
+    return {f.__name__: f for f in (p1_found, p1_report, p1_tagged_fields, p1_tagged_paths, p1_roles, p1_unified, p1_known_names, p1_lines, p4_found, p4_report, p6_found, p6_group_results)}
 
 
 _ORPHANS = """WITH refs AS (

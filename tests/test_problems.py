@@ -46,7 +46,7 @@ def test_unified_records_keep_every_branch(spark):
         ("f", 2): [{"user": {"id": "u2"}, "asin": {"depth": 1, "parent": "p2"}, "reviewText": ["a", "b"], "timestamp": "17", "helpful_vote": None, "helpful_votes": 3}],
         ("f", 3): [{"user": 7}],
     }
-    rows = {r.file_seq: r for r in drift.unified_records(raw(spark, files), drift.ROLE_NAMES).collect()}
+    rows = {r.file_seq: r for r in drift.unified_records(raw(spark, files)).collect()}
     assert (rows[1].user_id, rows[1].product_id, rows[1].review_text, rows[1].timestamp, rows[1].rating, rows[1].verified_purchase) == ("u1", "p1", "hello", 1700000000, 4.0, True)
     assert (rows[2].user_id, rows[2].product_id, rows[2].review_text, rows[2].timestamp, rows[2].helpful_votes) == ("u2", "p2", "a b", 17, 3)
     assert (rows[3].user_id, rows[3].user_id_type, rows[3].product_id, rows[3].rating, rows[3].product_id_type) == ("7", "number", None, 0.0, None)
@@ -58,7 +58,7 @@ def test_unified_records_have_typed_branches(spark):
         {"user_id": "u", "parent_asin": ["p", None], "text": None, "rating": "4.5", "verified_purchase": 0},
         {"verified_purchase": True},
     ]
-    a, b, c = sorted(drift.unified_records(raw(spark, {("f", 1): lines}), drift.ROLE_NAMES).collect(), key=lambda r: r.line_no)
+    a, b, c = sorted(drift.unified_records(raw(spark, {("f", 1): lines})).collect(), key=lambda r: r.line_no)
     assert (a.verified_purchase, a.verified_purchase_number, b.verified_purchase_number, c.verified_purchase_boolean) == (False, 1.0, 0.0, True)
     assert json.loads(a.review_text_json) == lines[0]["text"] and json.loads(a.product_id_json) == lines[0]["parent_asin"]
     assert json.loads(b.product_id_json) == ["p", None] and (b.product_id_string, b.review_text_json) == (None, None)
@@ -81,11 +81,52 @@ def test_nested_type_changes(spark):
     assert drift.tagged_paths(drift.parsed_lines(df.limit(0))).count() == 0
 
 
-def test_role_names_follow_renames(spark):
+def test_unified_records_follow_the_contract(spark):
+    """Votes fall back on 0, flags are joined by OR, whole numbers in text only, whatever doesn't convert is kept in its branch."""
+    lines = [
+        {"helpful_vote": 0, "helpful_votes": 7, "verified_purchase": False, "verifiedPurchase": True, "timestamp": "1.5", "rating": "five"},
+        {"helpful_vote": "x", "helpful_votes": None, "verified_purchase": 1, "verifiedPurchase": "t", "timestamp": 2.9, "rating": True},
+        {"helpful_vote": 3_000_000_000, "verified_purchase": "TRUE", "timestamp": "+5", "rating": "4.5"},
+        {"helpful_vote": True, "timestamp": 100000000001},
+    ]
+    rows = sorted(drift.unified_records(raw(spark, {("f", 1): lines})).collect(), key=lambda r: r.line_no)
+    assert [(r.helpful_votes, r.verified_purchase, r.timestamp, r.rating) for r in rows] == [(7, True, 0, 0.0), (0, False, 2, 0.0), (0, True, 5, 4.5), (0, False, 100000000, 0.0)]
+    assert (rows[0].rating_string, rows[0].timestamp_string, rows[0].helpful_votes_name, rows[0].verified_purchase_name) == ("five", "1.5", "helpful_votes", "verifiedPurchase")
+    assert (rows[1].helpful_votes_string, rows[1].rating_boolean, rows[2].helpful_votes_number) == ("x", True, 3e9)
+
+
+def test_malformed_lines_are_counted(spark):
+    df = raw(spark, {("f", 1): [{"a": 1}, "[1]", None, "", '{"cut": '], ("f", 2): [{}]})
+    assert sorted(tuple(r)[1:] for r in drift.line_counts(df).collect()) == [(1, "f/1", 5, 1, 4), (2, "f/2", 1, 1, 0)]
+
+
+def roles(df):
+    return {(r.feed_name, r.field_name): (r.role, r.evidence) for r in drift.role_names(df, drift.schema_changes(df)).collect()}
+
+
+def test_role_names_follow_renames_of_their_feed(spark):
     text = lambda i: f"the {i} lamp fell from its shelf and broke in many pieces"
-    files = {("f", s): [{name: text(i + 99 * s)} for i in range(20)] for s, name in ((1, "text"), (2, "wording"), (3, "prose"))}
-    names = drift.role_names(drift.schema_changes(raw(spark, files)))
-    assert names["review_text"] == ["text", "reviewText", "prose", "wording"]
+    chain = ["text", "a1", "a2", "a3", "a4", "a5", "a6", "wording"]
+    files = {("f", s): [{name: text(i + 99 * s)} for i in range(20)] for s, name in enumerate(chain, 1)}
+    # in feed g the same name carries a product, in h nothing says what it is, in k it is the text once more
+    files |= {("g", s): [{name: f"B0{i + 7 * s:03d}XY"} for i in range(20)] for s, name in ((1, "asin"), (2, "wording"))}
+    files |= {("h", 1): [{"a3": text(i), "wording": 1} for i in range(20)]}
+    got = roles(raw(spark, files))
+    assert {k[1]: v for k, v in got.items() if k[0] == "f"} == {n: ("review_text", "own") for n in chain[1:]}
+    assert got["g", "wording"] == ("product_id", "own")
+    assert got["h", "a3"] == ("review_text", "others") and ("h", "wording") not in got
+    df = raw(spark, files)
+    rows = drift.unified_records(df, drift.role_names(df, drift.schema_changes(df)))
+    assert rows.filter("review_text is not null").groupBy("feed_name").count().collect() != []
+    assert {(r.feed_name, r.review_text_name or r.product_id_name) for r in rows.filter("feed_name != 'f'").collect()} == {("g", "asin"), ("g", "wording"), ("h", "a3")}
+
+
+def test_fields_left_over_are_matched_again(spark):
+    """Two renames of like content in one step: the second pair is found after the first is taken."""
+    text = lambda i, n: " ".join(f"word{(i * 7 + k) % 50}" for k in range(n))
+    one = [{"p": text(i, 10), "q": text(i, 13)} for i in range(30)]
+    two = [{"r": text(i + 5, 10), "s": text(i + 5, 12)} for i in range(30)]
+    assert changes(raw(spark, {("f", 1): one, ("f", 2): two})) == {("f/2", "r", "p", "renamed"), ("f/2", "s", "q", "renamed")}
 
 
 def _orphans_by_hand(children, parents):
