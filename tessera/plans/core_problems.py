@@ -96,6 +96,66 @@ _DAYS = """WITH timed AS (SELECT *, CASE WHEN timestamp > 100000000000 THEN time
 days AS (SELECT *, seconds // 86400 AS bucket FROM timed WHERE product_id <> '' AND seconds > 0)"""
 
 
+#: Names of the test tables' own feeds, as read from the files, that carry a role.
+OWN_NAMES = {"user_id": ["account_key", "reviewer"], "product_id": ["item_ref"], "review_text": ["comment_full", "review_body"], "rating": ["stars"], "timestamp": ["posted"]}
+
+
+def _unified_sql(more: dict[str, list[str]]) -> str:
+    names = ", ".join(f"('{r}', {i}, '{n}')" for r, known in drift.ROLE_NAMES.items() for i, n in enumerate(known + more.get(r, [])))
+    one = lambda role, value: f"max(CASE WHEN role = '{role}' THEN {value} END)"
+    split = [f"{one(r, c)} AS {r}_{n}" for r in drift.ROLE_NAMES for n, c in (("type", "kind"), ("name", "name"), ("string", "as_string"), ("number", "as_number"), ("boolean", "as_boolean"), ("json", "as_json"))]
+    return f"""WITH names(role, place, name) AS (VALUES {names}),
+ok AS (SELECT row_number() OVER () AS rid, feed_name, file_name, file_seq, line_no, cast(payload AS json) AS j FROM raw_reviews WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'),
+long AS (SELECT rid, role, place, name, json_extract(j, '$."' || name || '"') AS v FROM ok, names),
+kinds AS (SELECT *, CASE json_type(v) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' ELSE 'number' END AS kind
+  FROM long WHERE v IS NOT NULL AND json_type(v) <> 'NULL'),
+texts AS (SELECT *, CASE kind
+    WHEN 'array' THEN nullif(array_to_string(list_transform(cast(v AS json[]), lambda e: e ->> '$'), ' '), '')
+    WHEN 'object' THEN coalesce(
+      list_filter(list_transform(list_sort(json_keys(v)), lambda k: CASE WHEN json_type(json_extract(v, '$."' || k || '"')) = 'VARCHAR' THEN json_extract_string(v, '$."' || k || '"') END), lambda t: t IS NOT NULL)[1],
+      json_extract_string(v, '$."' || list_sort(json_keys(v))[1] || '"'))
+    ELSE v ->> '$' END AS txt FROM kinds),
+read AS (SELECT *, CASE WHEN kind = 'number' OR (kind <> 'boolean' AND regexp_full_match(txt, '[+-]?[0-9]+')) THEN trunc(try_cast(txt AS decimal(38, 6))) END AS whole,
+  coalesce(lower(txt) = 'true', false) AS flag FROM texts),
+chosen AS (SELECT *, CASE WHEN kind = 'string' THEN txt END AS as_string, CASE WHEN kind = 'number' THEN cast(txt AS double) END AS as_number, CASE WHEN kind = 'boolean' THEN flag END AS as_boolean,
+  CASE WHEN kind = 'array' THEN cast(v AS varchar)
+    WHEN kind = 'object' THEN '{{' || array_to_string(list_transform(list_sort(json_keys(v)), lambda k: '"' || k || '":' || cast(json_extract(v, '$."' || k || '"') AS varchar)), ',') || '}}'
+    WHEN kind = 'number' AND length(ltrim(regexp_replace(txt, '[-.]|[eE].*', '', 'g'), '0')) > 15 THEN txt END AS as_json FROM read
+  QUALIFY row_number() OVER (PARTITION BY rid, role ORDER BY (role = 'verified_purchase' AND NOT flag) OR (role = 'helpful_votes' AND coalesce(try_cast(whole AS integer), 0) = 0), place) = 1),
+stamped AS (SELECT *, coalesce(try_cast(whole AS bigint), 0) AS big FROM chosen)
+SELECT any_value(feed_name) AS feed_name, any_value(file_name) AS file_name, any_value(file_seq) AS file_seq, any_value(line_no) AS line_no,
+  {one('user_id', 'txt')} AS user_id, {one('product_id', 'txt')} AS product_id, {one('review_text', 'txt')} AS review_text,
+  coalesce({one('rating', "CASE WHEN kind <> 'boolean' THEN try_cast(txt AS double) END")}, cast(0 AS double)) AS rating,
+  coalesce({one('timestamp', 'CASE WHEN big > 100000000000 THEN big // 1000 ELSE big END')}, 0) AS timestamp,
+  coalesce({one('verified_purchase', 'flag')}, false) AS verified_purchase, coalesce({one('helpful_votes', 'coalesce(try_cast(whole AS integer), 0)')}, 0) AS helpful_votes,
+  {", ".join(split)}
+FROM ok LEFT JOIN stamped USING (rid) GROUP BY rid"""
+
+
+def _changes_sql() -> str:
+    """Renames by reading: names of one role take over from one another, no other names do."""
+    groups = ", ".join(f"('{r}', '{n}')" for r, known in drift.ROLE_NAMES.items() for n in known + OWN_NAMES.get(r, []))
+    return f"""WITH roles(role, name) AS (VALUES {groups}),
+ok AS (SELECT feed_name, file_seq, cast(payload AS json) AS j FROM raw_reviews WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'),
+keys AS (SELECT *, unnest(json_keys(j)) AS name FROM ok),
+kinds AS (SELECT feed_name, file_seq, name, CASE json_type(json_extract(j, '$."' || name || '"')) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object'
+  WHEN 'ARRAY' THEN 'array' WHEN 'NULL' THEN NULL ELSE 'number' END AS kind FROM keys),
+fields AS (SELECT feed_name, file_seq, name, list_sort(list_distinct(list(kind))) AS types, role FROM kinds LEFT JOIN roles USING (name) GROUP BY ALL),
+files AS (SELECT feed_name, file_seq, min(file_name) AS file_name, lag(file_seq) OVER (PARTITION BY feed_name ORDER BY file_seq) AS before FROM raw_reviews GROUP BY 1, 2),
+steps AS (SELECT * FROM files WHERE before IS NOT NULL),
+new AS (SELECT feed_name, s.file_seq, file_name, name, types, role FROM steps s JOIN fields USING (feed_name, file_seq)),
+old AS (SELECT s.feed_name, s.file_seq, file_name, name, types, role FROM steps s JOIN fields f ON f.feed_name = s.feed_name AND f.file_seq = s.before),
+fresh AS (SELECT * FROM new ANTI JOIN old USING (feed_name, file_seq, name)),
+gone AS (SELECT * FROM old ANTI JOIN new USING (feed_name, file_seq, name)),
+renamed AS (SELECT feed_name, file_seq, f.file_name, f.name, g.name AS was, f.types, g.types AS had FROM fresh f JOIN gone g USING (feed_name, file_seq, role)
+  QUALIFY row_number() OVER (PARTITION BY feed_name, file_seq, role ORDER BY f.name, g.name) = 1)
+SELECT file_name, name AS field_name, 'renamed' AS change_kind FROM renamed
+UNION ALL SELECT file_name, name, 'retyped' FROM renamed WHERE types <> had
+UNION ALL SELECT file_name, name, 'added' FROM fresh ANTI JOIN renamed USING (feed_name, file_seq, name)
+UNION ALL SELECT file_name, name, 'removed' FROM gone g WHERE NOT EXISTS (SELECT 1 FROM renamed r WHERE r.feed_name = g.feed_name AND r.file_seq = g.file_seq AND r.was = g.name)
+UNION ALL SELECT new.file_name, name, 'retyped' FROM new JOIN old USING (feed_name, file_seq, name) WHERE new.types <> old.types"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_tagged_fields": """WITH ok AS (SELECT feed_name, file_seq, file_name, cast(payload AS json) AS j FROM raw_reviews WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'),
@@ -103,6 +163,11 @@ def oracle_sql() -> dict[str, str]:
   typed AS (SELECT *, json_type(json_extract(j, '$."' || field_name || '"')) AS t FROM names)
   SELECT feed_name, file_seq, file_name, field_name, CASE t WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object'
     WHEN 'ARRAY' THEN 'array' WHEN 'NULL' THEN 'null' ELSE 'number' END AS json_type, count(*) AS n_values FROM typed GROUP BY 1, 2, 3, 4, 5""",
+        "p1_found": _changes_sql(),
+        "p1_unified": _unified_sql(OWN_NAMES),
+        "p1_known_names": _unified_sql({}),
+        "p1_lines": """SELECT feed_name, file_seq, file_name, count(*) AS lines, count(*) FILTER (good) AS well_formed, count(*) FILTER (NOT good) AS malformed
+  FROM (SELECT *, coalesce(CASE WHEN json_valid(payload) THEN json_type(payload) = 'OBJECT' ELSE false END, false) AS good FROM raw_reviews) GROUP BY 1, 2, 3""",
         "p4_found": f"{_ORPHANS} SELECT table_name, ref_month, product_id, orphan_kind FROM orphan",
         "p4_report": f"{_ORPHANS} SELECT table_name, ref_month, orphan_kind, count(*) AS keys, cast(sum(n) AS bigint) AS refs FROM orphan GROUP BY 1, 2, 3",
         "p6_found": f"{_DAYS} SELECT product_id, bucket FROM days GROUP BY 1, 2 HAVING count(*) > 40",
