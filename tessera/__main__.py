@@ -1,4 +1,4 @@
-"""Command line: python -m tessera [reviews.jsonl [metadata.jsonl [output [label mode]]]]."""
+"""Command line: python -m tessera reviews.jsonl metadata.jsonl output [label mode]."""
 
 from __future__ import annotations
 
@@ -10,10 +10,14 @@ from pyspark.sql import SparkSession
 from tessera.config import PipelineConfig
 from tessera.plans.pipeline import run
 from tessera.sources.console import report
+from tessera.storage import close
 
 
 def main(args: list[str]) -> int:
     names = ("reviews_path", "metadata_path", "output_path", "label_mode")
+    if not 3 <= len(args) <= 4:
+        print(__doc__, file=sys.stderr)
+        return 2
     config = replace(PipelineConfig(), **dict(zip(names, args)))
     spark = SparkSession.builder.appName("tessera").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     try:
@@ -21,6 +25,7 @@ def main(args: list[str]) -> int:
         print(report(run(spark, config), config.top_k))
         print("done")
     finally:
+        close(spark)
         spark.stop()
     return 0
 

@@ -9,9 +9,9 @@ from dataclasses import dataclass
 class PipelineConfig:
     """Parameters of the coordination pipeline; the defaults are fixed values of the data contract."""
 
-    reviews_path: str = "/home/training/workspace/All_Beauty.jsonl"
-    metadata_path: str = "/home/training/workspace/meta_All_Beauty.jsonl"
-    output_path: str = "/home/training/workspace/tessera_output"
+    reviews_path: str | None = None  # the three paths are needed by the whole job only
+    metadata_path: str | None = None
+    output_path: str | None = None
     initial_bucket_hours: int = 24
     small_bucket_hours: int = 6
     oversized_group_limit: int = 100

@@ -41,14 +41,16 @@ def product_days(reviews: DataFrame, hours: int = 24, columns: tuple[str, ...] =
 
 
 def group_results(reviews: DataFrame, hours: int = 24) -> DataFrame:
-    """Per product and bucket: rows, distinct users, first and last time, rating sum and votes. Repeated rows count."""
+    """Per product and bucket: rows, distinct users, first and last time, rating sum and votes. Repeated rows count.
+
+    Ratings are summed to ten decimals, so the sum doesn't depend on the order in which tasks finish."""
     return keyed_aggregate(
         product_days(reviews, hours, ("user_id", "rating", "helpful_votes")),
         ["product_id", "bucket"],
         F.count("*").alias("group_rows"),
         F.min("seconds").alias("first_seen"),
         F.max("seconds").alias("last_seen"),
-        F.sum(F.col("rating").cast("decimal(18,2)")).cast("double").alias("rating_sum"),
+        F.sum(F.col("rating").cast("decimal(28,10)")).cast("double").alias("rating_sum"),
         F.sum("helpful_votes").alias("votes"),
         distinct="user_id",
     )

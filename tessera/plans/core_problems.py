@@ -172,5 +172,5 @@ def oracle_sql() -> dict[str, str]:
         "p4_report": f"{_ORPHANS} SELECT table_name, ref_month, orphan_kind, count(*) AS keys, cast(sum(n) AS bigint) AS refs FROM orphan GROUP BY 1, 2, 3",
         "p6_found": f"{_DAYS} SELECT product_id, bucket FROM days GROUP BY 1, 2 HAVING count(*) > 40",
         "p6_group_results": f"""{_DAYS} SELECT product_id, bucket, count(*) AS group_rows, min(seconds) AS first_seen, max(seconds) AS last_seen,
-  cast(sum(cast(rating AS decimal(18, 2))) AS double) AS rating_sum, cast(sum(helpful_votes) AS bigint) AS votes, count(DISTINCT user_id) AS n_user_id FROM days GROUP BY 1, 2""",
+  cast(sum(cast(rating AS decimal(28, 10))) AS double) AS rating_sum, cast(sum(helpful_votes) AS bigint) AS votes, count(DISTINCT user_id) AS n_user_id FROM days GROUP BY 1, 2""",
     }

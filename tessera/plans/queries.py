@@ -12,8 +12,10 @@ from tessera.functions import coerce as C
 from tessera.functions.text import clean_text
 from tessera.functions.timebuckets import time_bucket, to_seconds
 from tessera.operators import graph, groups, pairs, reviews, score
+from tessera.plans import pipeline
 from tessera.plans import views as V
-from tessera.sources.jsonl import metadata_records, review_records
+from tessera.sources.jsonl import metadata_records, read_metadata, read_reviews, review_records
+from tessera.sources.parquet import read_enriched, write_enriched
 from tessera.storage import Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,9 +72,39 @@ def coerce_scalars(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def metadata_fields(spark: SparkSession, folder: str) -> DataFrame:
+def _as_lines(raw: DataFrame, name: str) -> str:
+    """Write records as JSON Lines, null fields left out, and return the folder."""
+    at = Workspace(raw.sparkSession, "lines").path(name)
+    raw.select(F.to_json(F.struct("*"))).write.text(at)
+    return at
+
+
+def jsonl_reviews(spark: SparkSession, folder: str) -> DataFrame:
+    return read_reviews(spark, _as_lines(_raw_fields(spark, folder), "reviews"))
+
+
+def jsonl_metadata(spark: SparkSession, folder: str) -> DataFrame:
+    return reviews.valid_metadata(read_metadata(spark, _as_lines(_raw_metadata(spark, folder), "metadata")))
+
+
+def parquet_sink(spark: SparkSession, folder: str) -> DataFrame:
+    at = Workspace(spark, "sink").path("enriched")
+    write_enriched(enriched_reviews(spark, folder), at)
+    return read_enriched(spark, at)
+
+
+def whole_job(spark: SparkSession, folder: str) -> DataFrame:
+    """JSON Lines files of reviews and metadata to scored components, through every stage."""
+    m = V.brand_metadata(spark, folder).select(
+        F.col("product_id").alias("parent_asin"), F.col("category").alias("main_category"), F.col("product_title").alias("title"), F.col("catalog_average_rating").alias("average_rating")
+    )
+    config = PipelineConfig(_as_lines(V.orders_reviews(spark, folder), "reviews"), _as_lines(m, "metadata"), Workspace(spark, "job").path("enriched"))
+    return pipeline.run(spark, config)
+
+
+def _raw_metadata(spark: SparkSession, folder: str) -> DataFrame:
     p = V.table(spark, folder, "part")
-    raw = p.select(
+    return p.select(
         F.when(F.col("p_partkey") % 3 == 0, F.col("p_brand")).alias("parent_asin"),
         F.when(F.col("p_partkey") % 3 == 1, F.col("p_partkey")).alias("asin"),
         F.when(F.col("p_partkey") % 2 == 0, F.col("p_type")).alias("main_category"),
@@ -80,7 +112,10 @@ def metadata_fields(spark: SparkSession, folder: str) -> DataFrame:
         F.col("p_name").alias("title"),
         F.col("p_retailprice").cast("string").alias("average_rating"),
     )
-    return reviews.valid_metadata(metadata_records(raw))
+
+
+def metadata_fields(spark: SparkSession, folder: str) -> DataFrame:
+    return reviews.valid_metadata(metadata_records(_raw_metadata(spark, folder)))
 
 
 def normalize_ms(spark: SparkSession, folder: str) -> DataFrame:
@@ -132,6 +167,12 @@ def candidate_groups(spark: SparkSession, folder: str) -> DataFrame:
     return g.groupBy("product_id", "bucket").agg(F.count("*").alias("group_rows"), F.countDistinct("user_id").alias("users"))
 
 
+def candidate_groups_100(spark: SparkSession, folder: str) -> DataFrame:
+    """The same over the orders, split above the default of 100 rows."""
+    g = groups.candidate_groups(V.orders_brand(spark, folder))
+    return g.groupBy("product_id", "bucket").agg(F.count("*").alias("group_rows"), F.countDistinct("user_id").alias("users"))
+
+
 def user_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.user_pairs(groups.candidate_groups(V.events_key(spark, folder), SMALL_LIMIT), SMALL_LIMIT)
 
@@ -202,6 +243,10 @@ def queries() -> dict[str, Query]:
         "coerce_fields": coerce_fields,
         "coerce_scalars": coerce_scalars,
         "metadata_fields": metadata_fields,
+        "jsonl_reviews": jsonl_reviews,
+        "jsonl_metadata": jsonl_metadata,
+        "parquet_sink": parquet_sink,
+        "whole_job": whole_job,
         "normalize_ms": normalize_ms,
         "valid_reviews": valid_reviews,
         "cleaned_reviews": cleaned_reviews,
@@ -211,6 +256,7 @@ def queries() -> dict[str, Query]:
         "enriched_fanout": enriched_fanout,
         "group_sizes": group_sizes,
         "candidate_groups": candidate_groups,
+        "candidate_groups_100": candidate_groups_100,
         "user_pairs": user_pairs,
         "edges": brand_edges,
         "event_edges": event_edges,
@@ -294,6 +340,12 @@ _RAW = """raw AS (SELECT c_custkey AS row_id,
 
 
 def oracle_sql() -> dict[str, str]:
+    own = _oracle_sql()
+    same = {"jsonl_reviews": "coerce_fields", "jsonl_metadata": "metadata_fields", "parquet_sink": "enriched_reviews", "whole_job": "coordination_scores"}
+    return own | {name: own[other] for name, other in same.items()}
+
+
+def _oracle_sql() -> dict[str, str]:
     with_edges = f"WITH {_EDGES}"
     return {
         "clean_text": f"SELECT doc_id, {_CLEAN.format('text')} AS clean FROM documents",
@@ -325,6 +377,8 @@ def oracle_sql() -> dict[str, str]:
   FROM r JOIN product_meta ON parent_asin = product_id WHERE user_id IS NOT NULL AND ts > 0 GROUP BY 1, 2, 3, 4""",
         "group_sizes": f"WITH {_BRAND} SELECT product_id, ts // 86400 AS bucket, count(*) AS group_rows FROM orders_brand GROUP BY 1, 2",
         "candidate_groups": f"""WITH src AS ({_EVENT_TYPE}), {_groups_sql('src', 60)}
+  SELECT product_id, bucket, count(*) AS group_rows, count(DISTINCT user_id) AS users FROM grouped GROUP BY 1, 2""",
+        "candidate_groups_100": f"""WITH {_BRAND}, {_groups_sql('orders_brand', 100)}
   SELECT product_id, bucket, count(*) AS group_rows, count(DISTINCT user_id) AS users FROM grouped GROUP BY 1, 2""",
         "user_pairs": f"WITH src AS ({_EVENT_KEY}), {_groups_sql('src', 60)} SELECT user_a, user_b, product_id, bucket FROM pairs",
         "edges": f"{with_edges} SELECT user_a, user_b, weight FROM edges",

@@ -30,12 +30,27 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def application_dir(spark: SparkSession) -> str:
+    """The folder below the shared one that holds all workspaces of this application."""
+    return f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}"
+
+
+def close(spark: SparkSession) -> None:
+    """Delete every workspace of this application. Results are read from them lazily, so write these first."""
+    _delete(spark, application_dir(spark))
+
+
 class Workspace:
-    """A folder of intermediate tables of one run of an operator."""
+    """A folder of intermediate tables of one run of an operator; ``close`` deletes all of them."""
 
     def __init__(self, spark: SparkSession, name: str, at: str | None = None):
         self.spark = spark
-        self.root = at or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root = at or f"{application_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -47,6 +62,4 @@ class Workspace:
 
     def drop(self, table: str) -> None:
         """Delete a table that nothing reads any more."""
-        jvm = self.spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(self.path(table))
-        where.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+        _delete(self.spark, self.path(table))

@@ -180,6 +180,17 @@ def test_a_hot_day_is_cut_down_to_instants(spark):
         assert {tuple(r)[:4]: r.n_refs for r in orphans.orphan_references(refs, p, "k", "at", "gone", widths).collect()} == want
 
 
+def test_close_deletes_every_workspace(spark):
+    from pathlib import Path
+
+    from tessera import storage
+
+    storage.Workspace(spark, "x").save(spark.range(3), "t")
+    assert list(Path(storage.application_dir(spark)).glob("x-*"))
+    storage.close(spark)
+    assert not Path(storage.application_dir(spark)).exists()
+
+
 def test_skewed_groups(spark):
     rows = [("hot", f"u{i % 7}", 86400 * 3 + i, 2.0, 1) for i in range(41)] + [("hot", None, 86400 * 5000, None, None)] * 2
     rows += [("cold", "u", (86400 * 9000 + 5) * 1000, 1.0, 1), ("", "u", 5, 1.0, 1), (None, "u", 5, 1.0, 1), ("cold", "u", 0, 1.0, 1), ("cold", "u", None, 1.0, 1)]
