@@ -2,8 +2,9 @@
 
 State lives in a folder of hash-bucketed Parquet tables: basket memberships, item marginals and pair
 counts. A batch of changes touches the baskets it names; these emit signed deltas for items and pairs,
-which are merged into the buckets they hash to. Other buckets keep their files. A manifest names the
-files of each bucket and is replaced last, so a batch that fails leaves the former state.
+which are merged into the buckets they hash to. Other buckets are neither read nor written. A manifest
+per version names the files of each bucket and is written last, so a batch that fails at any point
+leaves the former state; files that neither the newest nor the version before names are deleted then.
 
 The counts of all pairs are kept. ``min_support`` and ``lift`` only choose among them what counts as
 associated, so tables may be read under other values than they were written under.
@@ -21,6 +22,11 @@ from tessera.functions.timebuckets import time_bucket, to_seconds
 from tessera.operators.pairs import blocked_pairs
 from tessera.storage import Workspace
 
+#: Rows of a bucket that one task writes to one file, about; memberships of a new table per bucket; buckets at least and at most.
+ROWS_PER_FILE = 2_000_000
+MEMBERS_PER_BUCKET = 2_000_000
+LEAST_BUCKETS, MOST_BUCKETS = 8, 4_096
+
 _TABLES = {
     "members": ("owner string, day bigint, item string", ["owner", "day"]),
     "marginals": ("item string, n bigint", ["item"]),
@@ -39,38 +45,57 @@ def user_day_baskets(reviews: DataFrame) -> DataFrame:
 
 
 class PairTable:
-    """Persistent pair counts under ``root``; ``apply`` brings in a batch of changes."""
+    """Persistent pair counts under ``root``; ``apply`` brings in a batch of changes.
+
+    Without ``buckets`` a stored table keeps its own number and a new one takes it from its first batch."""
 
-    def __init__(self, spark: SparkSession, root: str | None = None, buckets: int = 16, min_support: int = 5, lift: int = 4, block_size: int = 512):
+    def __init__(self, spark: SparkSession, root: str | None = None, buckets: int | None = None, min_support: int = 5, lift: int = 4, block_size: int = 512):
         self.spark, self.buckets, self.min_support, self.lift, self.block_size = spark, buckets, min_support, lift, block_size
         self.space = Workspace(spark, "pair-table", root)
         self.version, self.baskets = 0, 0
         self.files: dict[str, dict[str, str]] = {t: {} for t in _TABLES}
+        self.before: dict[str, dict[str, str]] = {t: {} for t in _TABLES}
         self._load()
 
     # --- state -----------------------------------------------------------------
 
-    def _fs(self, name: str):
+    def _fs(self, name: str = ""):
         jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.space.path(name))
+        path = jvm.org.apache.hadoop.fs.Path(self.space.path(name) if name else self.space.root)
         return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), path
 
+    def _versions(self) -> list[int]:
+        """Versions whose manifest was written to the end."""
+        fs, root = self._fs()
+        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+        found = sorted(int(n.split("-")[1]) for n in names if n.startswith("manifest-"))
+        return [v for v in found if fs.exists(self._fs(f"manifest-{v}/_SUCCESS")[1])]
+
+    def _manifest(self, version: int) -> dict:
+        return json.loads(self.spark.read.text(self.space.path(f"manifest-{version}")).first()[0])
+
     def _load(self) -> None:
-        fs, path = self._fs("manifest")
-        if fs.exists(path):
-            state = json.loads(self.spark.read.text(self.space.path("manifest")).first()[0])
-            for given, kept in (("buckets", self.buckets), ("pairs", "all")):  # earlier tables lack pairs of rare and of frequent items
+        versions = self._versions()
+        if versions:
+            state = self._manifest(versions[-1])
+            for given, kept in (("buckets", self.buckets or state["buckets"]), ("pairs", "all")):  # earlier tables lack pairs of rare and of frequent items
                 if state.get(given) != kept:
                     raise ValueError(f"the table at {self.space.root} has {given}={state.get(given)}")
-            self.version, self.baskets, self.files = state["version"], state["baskets"], state["files"]
-
-    def _commit(self) -> None:
-        state = {"version": self.version, "baskets": self.baskets, "files": self.files, "buckets": self.buckets, "pairs": "all"}
-        self.spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("overwrite").text(self.space.path("manifest-new"))
-        fs, new = self._fs("manifest-new")
-        _, path = self._fs("manifest")
-        fs.delete(path, True)
-        fs.rename(new, path)
+            self.buckets, self.version, self.baskets, self.files = state["buckets"], state["version"], state["baskets"], state["files"]
+            if len(versions) > 1:
+                self.before = self._manifest(versions[-2])["files"]
+
+    def _commit(self, version: int, baskets: int, files: dict[str, dict[str, str]]) -> None:
+        """Write the manifest of the new version, take it as the present state and delete what only older versions name."""
+        state = {"version": version, "baskets": baskets, "files": files, "buckets": self.buckets, "pairs": "all"}
+        self.spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("overwrite").text(self.space.path(f"manifest-{version}"))
+        older = {p for t in _TABLES for p in self.before[t].values()} - {p for f in (files, self.files) for t in _TABLES for p in f[t].values()}
+        self.before, self.version, self.baskets, self.files = self.files, version, baskets, files
+        for path in older:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+        for v in self._versions()[:-2]:
+            self.space.drop(f"manifest-{v}")
 
     def _bucket(self, table: str) -> Column:
         return F.pmod(F.xxhash64(*_TABLES[table][1]), F.lit(self.buckets)).cast("int")
@@ -83,16 +108,21 @@ class PairTable:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*paths)
 
-    def _store(self, table: str, rows: DataFrame, touched: set[str]) -> dict[str, str]:
-        """Write the buckets ``touched`` anew, one directory per bucket, and return their places."""
-        schema, _ = _TABLES[table]
+    def _store(self, table: str, rows: DataFrame, touched: set[str], most: int) -> dict[str, str]:
+        """Write the buckets ``touched`` anew, one directory per bucket, and return the places of all buckets.
+
+        ``most`` is at least the number of rows; a bucket is spread over as many tasks as its share needs."""
+        schema, keys = _TABLES[table]
         columns = [c.split()[0] for c in schema.split(", ")]
-        at = self.space.path(f"{table}-v{self.version + 1}")
-        rows.select(*columns, self._bucket(table).alias("bucket")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(at)
-        fs, path = self._fs(f"{table}-v{self.version + 1}")
+        name = f"{table}-v{self.version + 1}"
+        parts = max(1, -(-most // (max(1, len(touched)) * ROWS_PER_FILE)))
+        part = F.pmod(F.xxhash64(F.lit(parts), *keys), F.lit(parts))
+        placed = rows.select(*columns, self._bucket(table).alias("bucket")).repartition("bucket", part)
+        placed.write.mode("overwrite").partitionBy("bucket").parquet(self.space.path(name))
+        fs, path = self._fs(name)
         made = {s.getPath().getName().split("=")[1] for s in fs.listStatus(path) if "=" in s.getPath().getName()}
         kept = {b: p for b, p in self.files[table].items() if b not in touched}
-        return kept | {b: f"{at}/bucket={b}" for b in made}
+        return kept | {b: f"{self.space.path(name)}/bucket={b}" for b in made}
 
     def _buckets_of(self, table: str, rows: DataFrame) -> set[str]:
         return {str(b) for (b,) in rows.select(self._bucket(table).alias("b")).distinct().collect()}
@@ -111,9 +141,12 @@ class PairTable:
         change = clean(present).withColumn("is", F.lit(1)).unionByName(clean(absent).withColumn("is", F.lit(0))).groupBy("owner", "day", "item").agg(F.min("is").alias("is"))
         change = run.save(change, "change")
         first = not self.files["members"]
+        size = change.count()
+        if self.buckets is None:
+            self.buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-size // MEMBERS_PER_BUCKET)))
         if first:
             delta = run.save(change.filter("is = 1").withColumn("was", F.lit(0)), "delta")
-            touched: set[str] = set()
+            touched = {str(b) for b in range(self.buckets)}
             old_members = empty
         else:
             touched = self._buckets_of("members", change)
@@ -121,11 +154,8 @@ class PairTable:
             joined = change.join(old_members.withColumn("was", F.lit(1)), ["owner", "day", "item"], "left")
             delta = run.save(joined.withColumn("was", F.coalesce("was", F.lit(0))).filter(F.col("is") != F.col("was")), "delta")
 
-        # signed marginals, combined before the shuffle
-        shift = delta.groupBy("item").agg(F.sum(F.col("is") - F.col("was")).cast("bigint").alias("d")).filter("d != 0")
-        old_n = self.read("marginals")
-        merged = old_n.select("item", F.col("n").alias("n_old"), F.lit(0).cast("bigint").alias("d")).unionByName(shift.select("item", F.lit(0).cast("bigint").alias("n_old"), "d"))
-        counts = run.save(merged.groupBy("item").agg(F.sum("n_old").alias("n_old"), F.sum(F.col("n_old") + F.col("d")).alias("n")), "counts")
+        # signed marginals, combined before the shuffle; only the buckets they fall in are read
+        shift = run.save(delta.groupBy("item").agg(F.sum(F.col("is") - F.col("was")).cast("bigint").alias("n")).filter("n != 0"), "shift")
 
         changed = delta.groupBy("owner", "day").agg(F.sum(F.col("is") - F.col("was")).alias("d"))
         if first:
@@ -147,22 +177,24 @@ class PairTable:
         pair_delta = run.save(self._signed_pairs(views), "pair-delta")
 
         # merge into the buckets concerned
-        item_buckets, pair_buckets = self._buckets_of("marginals", shift), self._buckets_of("pairs", pair_delta)
         files = dict(self.files)
-        files["members"] = self._store("members", old_members.join(delta.filter("is = 0"), ["owner", "day", "item"], "left_anti").unionByName(delta.filter("is = 1").select("owner", "day", "item")), touched)
-        files["marginals"] = self._store("marginals", counts.filter(self._bucket("marginals").cast("string").isin(sorted(item_buckets)) & (F.col("n") > 0)), item_buckets)
-        union = self.read("pairs", pair_buckets).unionByName(pair_delta)
-        files["pairs"] = self._store("pairs", union.groupBy("item_a", "item_b").agg(F.sum("n").alias("n")).filter("n != 0"), pair_buckets)
-        self.files, self.baskets, self.version = files, new_total, self.version + 1
-        self._commit()
+        left = old_members.join(delta.filter("is = 0"), ["owner", "day", "item"], "left_anti").unionByName(delta.filter("is = 1").select("owner", "day", "item"))
+        files["members"] = self._store("members", left, touched, old_members.count() + size)
+        for table, signed in (("marginals", shift), ("pairs", pair_delta)):
+            keys = _TABLES[table][1]
+            buckets = self._buckets_of(table, signed)
+            old = self.read(table, buckets)
+            merged = old.unionByName(signed).groupBy(*keys).agg(F.sum("n").alias("n")).filter("n != 0")
+            files[table] = self._store(table, merged, buckets, old.count() + signed.count())
+        self._commit(self.version + 1, new_total, files)
         self.touched = pair_delta.select("item_a", "item_b")
         self.moved = shift.select("item")
 
     def _signed_pairs(self, views: DataFrame) -> DataFrame:
         """(item_a, item_b, n): the change of each pair's count, from what the changed baskets held and hold.
 
-        A basket's pairs are made in blocks, so a basket of any size is spread over tasks; pairs of two
-        members that stayed as they were give no row to the sum."""
+        A large basket's pairs are made in blocks, so a basket of any size is spread over tasks; pairs of two
+        members that stayed as they were give no row to the sum. ``views`` is a written table."""
         tagged = views.select("owner", "day", F.concat(F.when(F.col("was"), "1").otherwise("0"), F.when(F.col("is"), "1").otherwise("0"), "item").alias("item"))
         pairs = blocked_pairs(tagged, ["owner", "day"], "item", self.block_size)
         flag = lambda c, at: F.substring(c, at, 1) == "1"
@@ -203,7 +235,7 @@ def changed_scores(table: PairTable) -> DataFrame:
     return table.scores(table.touched.unionByName(by_a).unionByName(by_b).distinct())
 
 
-def review_pairs(reviews: DataFrame, buckets: int = 16, late_share: float = 0.1) -> PairTable:
+def review_pairs(reviews: DataFrame, buckets: int | None = None, late_share: float = 0.1) -> PairTable:
     """A pair table of user-day baskets, loaded in two batches: the rows that arrived first, then the latest tenth."""
     reviews = pick(reviews, "user_id", "product_id", "timestamp", "ingested_at")
     spark = reviews.sparkSession

@@ -65,6 +65,50 @@ def test_scores_hold_every_pair(spark):
     assert other.associated().count() == sum(k * 12 >= n[a] * n[b] for (a, b), k in pair.items())
 
 
+def test_a_small_batch_reads_and_writes_its_buckets_only(spark):
+    rows = [(f"o{k % 50}", 0, f"i{k * 7 % 90}") for k in range(400)]
+    table = cooccurrence.PairTable(spark, buckets=40, min_support=1, lift=1)
+    table.apply(spark.createDataFrame(rows, MEMBER))
+    was = {t: dict(f) for t, f in table.files.items()}
+    seen, real = {}, table.read
+
+    def read(name, only=None):
+        seen[name] = only
+        return real(name, only)
+
+    table.read = read
+    table.apply(spark.createDataFrame([("o1", 0, "new")], MEMBER))
+    in_basket = len({i for o, _, i in rows if o == "o1"})
+    for name, most in (("members", 1), ("marginals", 1), ("pairs", in_basket)):
+        changed = {b for b in was[name] | table.files[name] if was[name].get(b) != table.files[name].get(b)}
+        assert seen[name] is not None and changed <= seen[name] and len(seen[name]) <= most
+
+
+def test_a_batch_that_fails_leaves_the_former_state(spark):
+    from pathlib import Path
+
+    table = cooccurrence.PairTable(spark, buckets=3, min_support=1, lift=1)
+    table.apply(spark.createDataFrame([("o", 0, "a"), ("o", 0, "b")], MEMBER))
+    real = table._commit
+    table._commit = lambda *a: (_ for _ in ()).throw(OSError("lost"))
+    with pytest.raises(OSError):
+        table.apply(spark.createDataFrame([("o", 0, "c")], MEMBER))
+    again = cooccurrence.PairTable(spark, table.space.root, min_support=1, lift=1)
+    assert again.buckets == 3 and [(r.item_a, r.item_b) for r in again.scores().collect()] == [("a", "b")]
+    # a manifest cut off while it was written is no version
+    Path(again.space.path("manifest-2")).mkdir()
+    again = cooccurrence.PairTable(spark, table.space.root, min_support=1, lift=1)
+    assert again.version == 1
+    for i in range(4):
+        again.apply(spark.createDataFrame([("o", 0, f"c{i}")], MEMBER))
+    assert again.scores().count() == 15 and again.version == 5
+    kept = {p.name for p in Path(again.space.root).glob("manifest-*")}
+    assert kept == {"manifest-4", "manifest-5"}
+    named = {p for f in (again.files, again.before) for t in f.values() for p in t.values()}
+    assert {str(p) for p in Path(again.space.root).glob("pairs-v*/bucket=*")} <= named
+    assert real is not None
+
+
 def test_baskets_of_reviews(spark):
     rows = [("u", "a", 5), ("u", "a", 5), ("u", "b", 86399), ("u", "b", (86399 + 10**9) * 1000), ("", "a", 5), (None, "a", 5), ("u", "", 5), ("u", None, 5), ("u", "c", 0), ("u", "c", None), ("u", "c", -1)]
     df = spark.createDataFrame(rows, "user_id string, product_id string, timestamp bigint").select("*", F.lit(1).alias("USER_ID"), F.lit(2).alias("owner"))
