@@ -78,7 +78,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p10_shares(spark: SparkSession, folder: str) -> DataFrame:
     """The share of repeated four-word sequences of every document."""
-    measured = repetition.features(table(spark, folder, "documents"))
+    measured = repetition.measured(table(spark, folder, "documents"))
     return measured.select("doc_id", "n_words", "n_grams", "n_repeated", repetition.repeated_share().alias("repeated_share"))
 
 

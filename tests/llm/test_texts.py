@@ -1,3 +1,4 @@
+import os
 import random
 import re
 
@@ -128,17 +129,55 @@ def test_repetition_equals_brute_force(spark):
     assert repetition.repetitive(df.filter("doc_id = 152")).count() == 0
 
 
-def test_repetition_model_screens_without_loss_and_predicts():
-    rnd = np.random.default_rng(0)
-    share = rnd.uniform(0, 1, 2_000)
-    x = np.clip(share[:, None] + rnd.normal(0, 0.1, (2_000, len(repetition.FEATURES))), 0, 1)
-    y = (x[:, repetition.FEATURES.index("word_4")] >= 0.3).astype(float)
-    model = repetition.fit(x[:1_000], y[:1_000])
-    p = model.probability(x[1_000:])
-    assert min(model.weights) >= 0 and model.scale > 0
-    assert ((p >= 0.5) == (y[1_000:] > 0)).mean() > 0.9
-    assert (p[y[1_000:] > 0] >= model.threshold(0.3) * (1 - 1e-9)).all()
-    assert abs(p.mean() - y[1_000:].mean()) < 0.05
+def shares_and_labels(seed, n):
+    rnd = np.random.default_rng(seed)
+    share = np.where(rnd.uniform(0, 1, n) < 0.2, rnd.uniform(0.2, 1, n), rnd.uniform(0, 0.1, n))
+    x = np.clip(share[:, None] + rnd.normal(0, 0.1, (n, len(repetition.FEATURES))), 0, 1)
+    x[:, repetition.DEFINING] = share
+    return x, (share >= 0.3).astype(float)
+
+
+def test_repetition_model_keeps_its_bounds_and_predicts():
+    model = repetition.fit(*shares_and_labels(0, 4_000), 0.3)
+    x, y = shares_and_labels(1, 20_000)
+    p = model.probability(x)
+    low, high = model.bounds(0.3)
+    assert min(model.weights) >= 0 and model.scale > 0 and low >= repetition.REJECT_BELOW and high < repetition.ACCEPT_ABOVE
+    assert (p[y > 0] >= repetition.REJECT_BELOW).all() and not y[p < repetition.REJECT_BELOW].any()
+    assert y[p >= repetition.ACCEPT_ABOVE].all()
+    # calibrated: held-out probabilities agree with the share of labels, over all and among the middling ones
+    assert abs(p.mean() - y.mean()) < 0.02 and ((p >= 0.5) == (y > 0)).mean() > 0.97
+    # any constant leaves every row to the count; the fitted model leaves few
+    band = lambda q: ((q >= repetition.REJECT_BELOW) & (q < repetition.ACCEPT_ABOVE)).mean()
+    assert band(p) < 0.2 and band(repetition.RepetitionModel().probability(x)) == 1
+    assert repetition.fit(x[:50], np.zeros(50), 0.3) == repetition.RepetitionModel()
+
+
+def test_hashed_shares_are_never_below_exact_ones():
+    rnd = random.Random(11)
+    texts = [" ".join(rnd.choice(VOCABULARY[:k]) for _ in range(n)) for k, n in ((3, 40), (300, 5_000), (300, 0), (9, 25), (200, 70_000))]
+    for c in G.chunks(pa.array(texts)):
+        total, again = repetition.four_gram_counts(c)
+        exact, hashed = again / np.maximum(total, 1), repetition.hashed_shares(c)[:, repetition.DEFINING]
+        assert (hashed >= exact).all() and (hashed <= exact + repetition.COLLISIONS / 2).all()
+        assert (repetition.four_gram_counts(c, np.arange(c.n) == 0)[0][1:] == 0).all()
+
+
+def test_the_model_decides_most_documents(spark, monkeypatch):
+    """On the smallest test tables the count is left a small part; a constant model is caught here."""
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    docs = spark.read.parquet(path)
+    rows = repetition.repetitive(docs).groupBy("decided_by").count().collect()
+    found = {r.decided_by: r["count"] for r in rows}
+    band = repetition.scored(docs, repetition.train(docs)).filter(F.col("probability") < repetition.ACCEPT_ABOVE).count()
+    assert found["model"] > found["count"] and band < 0.05 * docs.count()
+    exact = repetition.measured(docs).filter("n_words >= 20 and 10 * n_repeated >= 3 * n_grams").count()
+    assert sum(found.values()) == exact
+    for p in (0.0, 1.0):
+        monkeypatch.setattr(repetition, "train", lambda *a, p=p: repetition.RepetitionModel(bias=-500.0 if p == 0 else 500.0))
+        assert repetition.repetitive(docs).count() != exact
 
 
 def test_lower_bound_and_packing_of_sizes():
