@@ -9,13 +9,20 @@ from tessera.config import PipelineConfig
 from tessera.storage import Workspace
 
 
+def gathered_pairs(rows: DataFrame, group: list[str], item: str = "item") -> DataFrame:
+    """The pairs of ``blocked_pairs`` for groups whose size is known to be bounded: each is gathered as one
+    array by one shuffle and paired from it, so that groups of one member end there."""
+    gathered = rows.groupBy(*group).agg(F.array_sort(F.collect_list(item)).alias("all")).filter(F.size("all") > 1)
+    led = gathered.select(*group, "all", F.posexplode("all").alias("at", "item_a"))
+    return led.select(*group, "item_a", F.explode(F.slice("all", F.col("at") + 2, F.size("all"))).alias("item_b"))
+
+
 def blocked_pairs(members: DataFrame, group: list[str], item: str, block_size: int = 512) -> DataFrame:
     """Every unordered pair of distinct items of a group, as ``item_a`` < ``item_b`` plus the group columns.
 
     ``members`` has distinct rows and is read three times, so it should be a written table. Sizes are
     combined before the shuffle; the keys of the groups above ``block_size``, no more than rows /
-    ``block_size``, are written first. Smaller groups are gathered as one bounded array each, by one
-    shuffle, and paired from it. A larger group is cut into ceil(n / block_size) blocks by a hash of
+    ``block_size``, are written first. Smaller groups are gathered. A larger group is cut into ceil(n / block_size) blocks by a hash of
     the item and its join key holds a pair of blocks, so no task ever sees more than two blocks of it.
     Null items and null group keys pair with nothing.
     """
@@ -24,9 +31,7 @@ def blocked_pairs(members: DataFrame, group: list[str], item: str, block_size: i
     sizes = rows.groupBy(*group).agg(F.count("*").alias("n")).filter(F.col("n") > block_size)
     big = Workspace(members.sparkSession, "big-groups").save(sizes.select(*group, F.ceil(F.col("n") / F.lit(block_size)).cast("int").alias("blocks")), "big")
 
-    gathered = rows.join(big, group, "left_anti").groupBy(*group).agg(F.array_sort(F.collect_list("item")).alias("all")).filter(F.size("all") > 1)
-    led = gathered.select(*group, "all", F.posexplode("all").alias("at", "item_a"))
-    small = led.select(*group, "item_a", F.explode(F.slice("all", F.col("at") + 2, F.size("all"))).alias("item_b"))
+    small = gathered_pairs(rows.join(big, group, "left_anti"), group)
 
     # both sides of this join are read from tables, so the adaptive planner splits a hot group's rows
     placed = rows.join(big, group).withColumn("block", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
