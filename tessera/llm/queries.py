@@ -40,16 +40,18 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select(F.col("member").alias("user_id"), "group_id")
 
 
-def _alike(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def _alike(spark: SparkSession, folder: str) -> near_duplicates.Alike:
     return near_duplicates.similar_texts(table(spark, folder, "enriched_reviews"), shingle=3, similarity=(3, 5))
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    return near_duplicates.similar_pairs(*_alike(spark, folder)).select(F.col("a").alias("review_id_a"), F.col("b").alias("review_id_b"))
+    return near_duplicates.similar_pairs(_alike(spark, folder)).select(F.col("a").alias("review_id_a"), F.col("b").alias("review_id_b"))
 
 
 def p7_groups(spark: SparkSession, folder: str) -> DataFrame:
-    return near_duplicates.similar_groups(*_alike(spark, folder)).withColumnRenamed("id", "review_id")
+    """Every review with its group and the number of texts that its own is like."""
+    ids = table(spark, folder, "enriched_reviews").select("review_id")
+    return near_duplicates.similar_groups(_alike(spark, folder), ids).withColumnRenamed("id", "review_id")
 
 
 def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
@@ -112,6 +114,17 @@ def _tail(k: int, m: int = 4) -> str:
 _WORDS = "string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ')"
 
 
+_ALIKE = """c AS (SELECT DISTINCT review_id, trim(regexp_replace(lower(review_text), '[^a-z0-9]+', ' ', 'g')) AS t FROM enriched_reviews WHERE review_text IS NOT NULL),
+  w AS (SELECT review_id, t, string_split(t, ' ') AS ws FROM c),
+  k AS (SELECT t, min(ws) AS ws FROM w WHERE len(ws) >= 20 GROUP BY t),
+  n AS (SELECT t, row_number() OVER (ORDER BY t) AS id, ws FROM k),
+  g AS (SELECT DISTINCT id, unnest([array_to_string(ws[i:i+2], ' ') FOR i IN range(1, len(ws) - 1)]) AS s FROM n),
+  z AS (SELECT id, count(*) AS k FROM g GROUP BY id),
+  x AS (SELECT p.id AS a, q.id AS b, count(*) AS shared FROM g p JOIN g q ON p.s = q.s AND p.id < q.id GROUP BY 1, 2),
+  alike AS (SELECT a, b FROM x JOIN z za ON za.id = a JOIN z zb ON zb.id = b WHERE 5 * shared >= 3 * (za.k + zb.k - shared)),
+  m AS (SELECT DISTINCT id, review_id FROM n JOIN w USING (t))"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": f"{_BASKETS} SELECT item_a AS product_a, item_b AS product_b FROM s WHERE n_ab >= 5 AND n_ab * baskets >= 4 * n_a * n_b",
@@ -130,17 +143,17 @@ def oracle_sql() -> dict[str, str]:
   l AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
   reach AS (SELECT a AS v, a AS w FROM l UNION SELECT r.v, l.b FROM reach r JOIN l ON r.w = l.a)
   SELECT v AS user_id, min(w) AS group_id FROM reach GROUP BY v""",
-        "p7_found": """WITH c AS (SELECT DISTINCT review_id, trim(regexp_replace(lower(review_text), '[^a-z0-9]+', ' ', 'g')) AS t FROM enriched_reviews WHERE review_text IS NOT NULL),
-  w AS (SELECT review_id, t, string_split(t, ' ') AS ws FROM c),
-  k AS (SELECT t, min(ws) AS ws FROM w WHERE len(ws) >= 20 GROUP BY t),
-  n AS (SELECT t, row_number() OVER (ORDER BY t) AS id, ws FROM k),
-  g AS (SELECT DISTINCT id, unnest([array_to_string(ws[i:i+2], ' ') FOR i IN range(1, len(ws) - 1)]) AS s FROM n),
-  z AS (SELECT id, count(*) AS k FROM g GROUP BY id),
-  x AS (SELECT p.id AS a, q.id AS b, count(*) AS shared FROM g p JOIN g q ON p.s = q.s AND p.id < q.id GROUP BY 1, 2),
-  alike AS (SELECT a, b FROM x JOIN z za ON za.id = a JOIN z zb ON zb.id = b WHERE 5 * shared >= 3 * (za.k + zb.k - shared) UNION ALL SELECT id, id FROM n),
-  m AS (SELECT DISTINCT id, review_id FROM n JOIN w USING (t))
+        "p7_found": f"""WITH {_ALIKE}
   SELECT DISTINCT least(ma.review_id, mb.review_id) AS review_id_a, greatest(ma.review_id, mb.review_id) AS review_id_b
-  FROM alike JOIN m ma ON ma.id = a JOIN m mb ON mb.id = b WHERE ma.review_id <> mb.review_id""",
+  FROM (SELECT a, b FROM alike UNION ALL SELECT id, id FROM n) JOIN m ma ON ma.id = a JOIN m mb ON mb.id = b WHERE ma.review_id <> mb.review_id""",
+        "p7_groups": f"""WITH RECURSIVE {_ALIKE},
+  l AS (SELECT a, b FROM alike UNION ALL SELECT b, a FROM alike),
+  reach AS (SELECT id AS v, id AS w FROM n UNION SELECT r.v, l.b FROM reach r JOIN l ON r.w = l.a),
+  part AS (SELECT v AS id, min(w) AS part FROM reach GROUP BY v),
+  named AS (SELECT part, min(review_id) AS group_id FROM part JOIN m USING (id) GROUP BY part),
+  degree AS (SELECT a AS id, count(*) AS k FROM l GROUP BY a),
+  placed AS (SELECT review_id, group_id, coalesce(k, 0) AS k FROM m JOIN part USING (id) JOIN named USING (part) LEFT JOIN degree USING (id))
+  SELECT review_id, coalesce(group_id, review_id) AS group_id, cast(coalesce(k, 0) AS bigint) AS n_links FROM (SELECT DISTINCT review_id FROM enriched_reviews WHERE review_id IS NOT NULL) LEFT JOIN placed USING (review_id)""",
         "p9_found": f"""WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents), i AS (SELECT item_id, {_WORDS} AS ws FROM eval_items),
   dg AS (SELECT DISTINCT doc_id, unnest([array_to_string(ws[j:j+11], ' ') FOR j IN range(1, len(ws) - 10)]) AS g FROM d),
   ig AS (SELECT DISTINCT item_id, unnest([array_to_string(ws[j:j+11], ' ') FOR j IN range(1, len(ws) - 10)]) AS g FROM i)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import leakage, near_duplicates, packing, repetition
 from tessera.llm import textgrams as G
+from tessera.storage import Workspace
 
 VOCABULARY = [f"w{i}" for i in range(300)]
 
@@ -86,8 +87,8 @@ def edited(rnd, w):
     return w
 
 
-@pytest.mark.parametrize("long_list", [40, 1])
-def test_similar_pairs_and_groups(spark, monkeypatch, long_list):
+@pytest.mark.parametrize("long_list", [40, 4, 1])
+def test_similar_pairs_and_groups(spark, long_list):
     rnd = random.Random(4)
     base = [[rnd.choice(VOCABULARY) for _ in range(rnd.randrange(22, 60))] for _ in range(30)]
     texts = [" ".join(edited(rnd, w)) for w in base for _ in range(6)] + [" ".join(base[0])] * 4 + [" ".join(base[0]).upper() + "!", "", None, "too short", "x " * 30_000]
@@ -99,15 +100,40 @@ def test_similar_pairs_and_groups(spark, monkeypatch, long_list):
         if len(w) >= 20:
             sets[i] = {tuple(w[k : k + 3]) for k in range(len(w) - 2)}
     want = {(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b])}
-    real = near_duplicates.colliding_pairs
-    monkeypatch.setattr(near_duplicates, "colliding_pairs", lambda s, w, m: real(s, w, m, long_list))
-    links, members = near_duplicates.similar_texts(df, shingle=3, similarity=(3, 5))
-    got = {tuple(r) for r in near_duplicates.similar_pairs(links, members).collect()}
+    alike = near_duplicates.similar_texts(df, shingle=3, similarity=(3, 5), long_list=long_list)
+    got = {tuple(r) for r in near_duplicates.similar_pairs(alike).collect()}
     assert got <= want and len(got) >= 0.995 * len(want)
-    groups = {r.id: (r.group_id, r.n_links) for r in near_duplicates.similar_groups(links, members).collect()}
-    assert set(groups) == {x for p in got for x in p} and all(groups[a][0] == groups[b][0] for a, b in got)
+    groups = {r.id: (r.group_id, r.n_links) for r in near_duplicates.similar_groups(alike, df.select("review_id")).collect()}
+    assert set(groups) == set(range(len(texts))) and all(groups[a][0] == groups[b][0] for a, b in got)
+    paired = {x for p in got for x in p}
+    assert all(groups[x] == (x, 0) for x in groups if x not in paired) and all(groups[x][0] <= x for x in groups)
+    linked = {x: {frozenset(sets[y]) for p in got if x in p for y in p} - {frozenset(sets[x])} for x in paired}
+    assert {x: groups[x][1] for x in paired} == {x: len(v) for x, v in linked.items()}
     none = near_duplicates.similar_texts(df.limit(0), shingle=3, similarity=(3, 5))
-    assert near_duplicates.similar_pairs(*none).count() == 0
+    assert near_duplicates.similar_pairs(none).count() == 0 and near_duplicates.similar_groups(none, df.select("review_id").limit(0)).count() == 0
+
+
+def test_long_lists_lose_no_pair(spark):
+    """Whatever the limit, the same pairs collide: long lists are only looked at in another way."""
+    rnd = np.random.default_rng(3)
+    rows = [(i, [int(v) for v in rnd.choice([1, 2, 3, 4 + i], 8, p=[0.3, 0.1, 0.05, 0.55])]) for i in range(150)]
+    want = {(a, b) for a, x in rows for b, y in rows if a < b and sum(p == q for p, q in zip(x, y)) >= 2}
+    signed = spark.createDataFrame(rows, "row bigint, coordinates array<int>")
+    for limit in (1, 5, 1000):
+        space = Workspace(spark, "test")
+        found = near_duplicates.colliding_pairs(signed, space, 2, limit).collect()
+        assert len(found) == len(want) and {tuple(r) for r in found} == want
+    three = {(a, b) for a, x in rows for b, y in rows if a < b and sum(p == q for p, q in zip(x, y)) >= 3}
+    assert {tuple(r) for r in near_duplicates.colliding_pairs(signed, Workspace(spark, "test"), 3, 5).collect()} == three
+
+
+def test_an_id_with_several_texts_takes_part_with_each(spark):
+    a, b = (" ".join(f"{p}{i}" for i in range(40)) for p in "ab")
+    df = spark.createDataFrame([(1, a), (1, b), (2, a + " end"), (3, b + " end"), (4, b), (4, b), (5, "short")], "review_id bigint, review_text string")
+    alike = near_duplicates.similar_texts(df)
+    assert {tuple(r) for r in near_duplicates.similar_pairs(alike).collect()} == {(1, 2), (1, 3), (1, 4), (3, 4)}
+    groups = {r.id: (r.group_id, r.n_links) for r in near_duplicates.similar_groups(alike, df.select("review_id")).collect()}
+    assert groups == {1: (1, 2), 2: (1, 1), 3: (1, 1), 4: (1, 1), 5: (5, 0)}
 
 
 def test_repetition_equals_brute_force(spark):
