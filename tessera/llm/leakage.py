@@ -51,7 +51,7 @@ def shingles(texts: DataFrame, shingle: int, keep: np.ndarray | None = None) ->
     return texts.select("id", "words", F.xxhash64("words").alias("version")).mapInArrow(emit, "id bigint, version bigint, pos int, shingle bigint")
 
 
-def leaked(documents: DataFrame, items: DataFrame, window: int = 12, shingle: int = 5) -> DataFrame:
+def leaked(documents: DataFrame, items: DataFrame, window: int = 12, shingle: int = 5, max_shipped: int = MAX_SHIPPED_SHINGLES) -> DataFrame:
     """(doc_id, item_id, matched_words): documents holding at least ``window`` consecutive words of an item,
     with the length in words of the longest such run.
 
@@ -59,7 +59,7 @@ def leaked(documents: DataFrame, items: DataFrame, window: int = 12, shingle: in
     match nothing. A repeated row counts once; several texts under one id are matched each by itself, and
     the id has what any of them has. One pass over the documents keeps the positions of shingles that occur in any item,
     usually a small part; everything after works on those positions. Item shingles are shipped to the
-    workers while they number at most MAX_SHIPPED_SHINGLES, and beyond that joined by shuffle.
+    workers while they number at most ``max_shipped``, and beyond that joined by shuffle; the rows are the same.
     """
     if not 1 <= shingle <= window:
         raise ValueError("a shingle has 1 to window words")
@@ -70,18 +70,16 @@ def leaked(documents: DataFrame, items: DataFrame, window: int = 12, shingle: in
     item, doc = ["item_id", "item_version"], ["doc_id", "doc_version"]
     own = space.save(shingles(item_words.distinct(), shingle).toDF(*item, "item_pos", "shingle"), "items")
     texts = documents.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("id"), plain_words(F.col("text")).alias("words"))
-    shipped = None
-    if own.count() <= MAX_SHIPPED_SHINGLES:
-        shipped = own.select("shingle").distinct().toPandas()["shingle"].to_numpy()
-    if shipped is not None:
-        found = shingles(texts, shingle, np.sort(shipped.astype(np.int64).view(np.uint64)))
+    known = space.save(own.select("shingle").distinct(), "known")
+    if known.count() <= max_shipped:
+        found = shingles(texts, shingle, np.sort(known.toPandas()["shingle"].to_numpy().astype(np.int64).view(np.uint64)))
     else:
-        found = shingles(texts, shingle).join(own.select("shingle").distinct(), "shingle", "left_semi")
+        found = shingles(texts, shingle).join(known, "shingle", "left_semi")
     # distinct only here, where repeated documents are small
     hits = space.save(found.select("id", "version", "pos", "shingle").toDF(*doc, "doc_pos", "shingle").distinct(), "hits")
 
     # rarity over the whole corpus; a window with an absent shingle can't occur
-    rarity = hits.select("doc_id", "shingle").distinct().groupBy("shingle").agg(F.count("*").alias("n_docs"))
+    rarity = space.save(hits.select("doc_id", "shingle").distinct().groupBy("shingle").agg(F.count("*").alias("n_docs")), "rarity")
     order = Window.partitionBy(*item).orderBy("item_pos").rowsBetween(0, span - 1)
     ranked = own.join(rarity, "shingle", "left").withColumn("present", F.count("n_docs").over(order))
     rarest = ranked.withColumn("prefix", F.min(F.struct("n_docs", "shingle", "item_pos")).over(order)).filter(F.col("present") == span)

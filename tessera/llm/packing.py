@@ -1,22 +1,24 @@
 """Filling containers of fixed capacity: best-fit decreasing with certified bounds.
 
-Items are packed partition by partition. For each partition dual feasible functions give a number of
-containers that no packing can go below; a partition that reaches it is certified optimal. Partitions
-with a gap exchange the contents of their loosely filled containers and are packed again, and the new
-packing is kept only where it needs fewer containers.
+Items are packed partition by partition. Dual feasible functions give a number of containers that no
+packing can go below, for each partition and for all items together. While more containers than that are
+in use, partitions exchange the contents of their containers with room left, a few partitions at a time
+and others in each round; these are packed again, and the new packing is kept only where it needs fewer
+containers. Containers that are full stay as they are and aren't read again.
 """
 
 from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import pick
@@ -39,11 +41,26 @@ def _encoding(path: str):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+_sent: dict[tuple[str, str], str] = {}
+
+
+def _send(spark: SparkSession, tokenizer: str) -> str:
+    """Send the vocabulary file to the executors, once per application, and return the name it has there."""
+    sent = (spark.sparkContext.applicationId, tokenizer)
+    if sent not in _sent:
+        spark.sparkContext.addFile(tokenizer)
+        _sent[sent] = Path(tokenizer).name
+    return _sent[sent]
+
+
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, n_tokens) of whole texts; null and empty texts have none."""
+    """(doc_id, n_tokens) of whole texts; null and empty texts have none.
+
+    ``tokenizer`` is a vocabulary file of the driver, in the form of one base64 token and its rank per line."""
+    name = _send(documents.sparkSession, tokenizer)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(tokenizer).encode_ordinary
+        encode = _encoding(SparkFiles.get(name)).encode_ordinary
         for batch in batches:
             sizes = [len(encode(t)) if t else 0 for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], ["doc_id", "n_tokens"])
@@ -112,7 +129,7 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, n
     return where, np.array(free, np.int64)
 
 
-_PACKED = "doc_id bigint, piece int, first_token bigint, n_tokens bigint, part bigint, container bigint, free_room bigint, bound bigint, containers bigint"
+_PACKED = "doc_id bigint, piece int, first_token bigint, n_tokens bigint, part bigint, container bigint, free_room bigint"
 
 
 def _packer(capacity: int):
@@ -120,57 +137,67 @@ def _packer(capacity: int):
         items = items.sort_values(["doc_id", "piece"], kind="stable")
         sizes = items["n_tokens"].to_numpy()
         where, free = best_fit_decreasing(sizes, capacity)
-        bound = max(lower_bound(np.bincount(sizes, minlength=capacity + 1)), 1 if len(sizes) else 0)
-        return items[["doc_id", "piece", "first_token", "n_tokens", "part"]].assign(container=where, free_room=free[where], bound=bound, containers=len(free))
+        return items[["doc_id", "piece", "first_token", "n_tokens", "part"]].assign(container=where, free_room=free[where])
 
     return pack
 
 
-def packed(documents: DataFrame, capacity: int = 2048, tokenizer: str = TOKENIZER, rounds: int = 2, containers_per_partition: int = CONTAINERS_PER_PARTITION, exchange: int = 4) -> DataFrame:
+def _histogram(items: DataFrame, capacity: int) -> np.ndarray:
+    """How many items have each size; sizes are counted before they reach the driver, so at most capacity + 1 rows do."""
+    histogram = np.zeros(capacity + 1, np.int64)
+    for size, n in items.groupBy("n_tokens").agg(F.count("*").alias("n")).collect():
+        histogram[size] = n
+    return histogram
+
+
+def packed(documents: DataFrame, capacity: int = 2048, tokenizer: str = TOKENIZER, rounds: int = 12, containers_per_partition: int = CONTAINERS_PER_PARTITION, exchange: int = 4) -> DataFrame:
     """(doc_id, piece, first_token, n_tokens, container_id, free_room): every document once, or in pieces if
     it alone exceeds ``capacity``.
 
     Partitions come from a hash of the document and are sized by tokens and items, so none grows with the
-    data. Each round takes the partitions above their bound, ``exchange`` of them at a time, gathers
-    what lies in their containers that aren't full, packs that again and keeps it if it saves containers.
+    data. Each round puts ``exchange`` partitions together, others than the round before, gathers what lies in
+    their containers that aren't full, packs that again and keeps it if it saves containers. It ends when
+    the bound over all items is reached, when two rounds running save nothing, or after ``rounds``;
+    ``certificate`` tells what is left open. Repeated documents are items like others.
     """
     if capacity < 1:
         raise ValueError("the capacity must be positive")
     space = Workspace(documents.sparkSession, "packing")
-    sizes = space.save(token_counts(documents, tokenizer), "sizes")
-    all_pieces = pieces(sizes, capacity)
-    tokens, items = all_pieces.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count("*")).first()
+    all_pieces = space.save(pieces(token_counts(documents, tokenizer), capacity), "pieces")
+    histogram = _histogram(all_pieces, capacity)
+    tokens, items, bound = int((histogram * np.arange(capacity + 1)).sum()), int(histogram.sum()), lower_bound(histogram)
     parts = max(1, -(-tokens // (capacity * containers_per_partition)), -(-items // ITEMS_PER_PARTITION))
     spread = all_pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)))
-    now = space.save(spread.groupBy("part").applyInPandas(_packer(capacity), _PACKED), "packed-0").withColumn("round", F.lit(0))
+    first = space.save(spread.groupBy("part").applyInPandas(_packer(capacity), _PACKED).withColumn("round", F.lit(0)), "packed-0")
+    full, loose = [first.filter("free_room = 0")], first.filter("free_room > 0")
+    boxes = lambda df: df.select("round", "part", "container").distinct()
+    used, idle = boxes(first).count(), 0
     for r in range(1, rounds + 1):
-        state = now.groupBy("round", "part").agg(F.first("bound").alias("bound"), F.first("containers").alias("containers"))
-        gaps = state.filter(F.col("containers") > F.col("bound")).select("round", "part")
-        n = gaps.count()
-        if n < 2:
+        if used <= bound or idle == 2:
             break
-        groups = max(1, n // exchange)
-        mixing = gaps.withColumn("mixed", F.pmod(F.xxhash64("round", "part", F.lit(r)), F.lit(groups)))
-        loose = now.filter(F.col("free_room") > 0).join(mixing, ["round", "part"])
-        again = loose.select("doc_id", "piece", "first_token", "n_tokens", F.col("mixed").alias("part")).groupBy("part").applyInPandas(_packer(capacity), _PACKED)
-        tried = space.save(again, f"tried-{r}").withColumn("round", F.lit(r))
-        was = loose.select("mixed", "round", "part", "container").distinct().groupBy("mixed").agg(F.count("*").alias("before"))
-        better = tried.groupBy("part").agg(F.first("containers").alias("after")).join(was, F.col("part") == F.col("mixed")).filter("after < before").select("mixed")
-        gone = mixing.join(better, "mixed").select("round", "part", F.lit(True).alias("moved"))
-        kept = now.join(gone, ["round", "part"], "left").filter("moved is null or free_room = 0").drop("moved")
-        new = tried.join(better.withColumnRenamed("mixed", "part"), "part", "left_semi")
-        now = space.save(kept.unionByName(new), f"packed-{r}")
+        groups = max(1, -(-parts // exchange))
+        mixing = loose.withColumn("mixed", F.pmod(F.xxhash64("round", "part", F.lit(r)), F.lit(groups)))
+        was = boxes(mixing).join(mixing.select("round", "part", "mixed").distinct(), ["round", "part"]).groupBy("mixed").agg(F.count("*").alias("before"))
+        again = mixing.select("doc_id", "piece", "first_token", "n_tokens", F.col("mixed").alias("part")).groupBy("part").applyInPandas(_packer(capacity), _PACKED)
+        tried = space.save(again.withColumn("round", F.lit(r)), f"tried-{r}")
+        now = boxes(tried).groupBy("part").agg(F.count("*").alias("after"))
+        better = space.save(now.join(was, F.col("part") == F.col("mixed")).filter("after < before").select("mixed", (F.col("before") - F.col("after")).alias("saved")), f"better-{r}")
+        saved = better.agg(F.coalesce(F.sum("saved"), F.lit(0))).first()[0]
+        idle = 0 if saved else idle + 1
+        if not saved:
+            continue
+        used -= saved
+        new = tried.join(better.select(F.col("mixed").alias("part")), "part", "left_semi").select(*loose.columns)
+        kept = mixing.join(better, "mixed", "left_anti").select(*loose.columns)
+        full.append(new.filter("free_room = 0"))
+        loose = space.save(kept.unionByName(new.filter("free_room > 0")), f"loose-{r}")
     container = F.concat_ws("-", "round", "part", "container")
-    return now.select("doc_id", "piece", "first_token", "n_tokens", container.alias("container_id"), "free_room")
+    return reduce(DataFrame.unionByName, [*full, loose]).select("doc_id", "piece", "first_token", "n_tokens", container.alias("container_id"), "free_room")
 
 
 def certificate(assigned: DataFrame, capacity: int = 2048) -> DataFrame:
-    """One row: containers used, tokens, and the lower bound over all items together; sizes are counted first."""
-    counts = assigned.groupBy("n_tokens").agg(F.count("*").alias("n"))  # at most capacity + 1 rows
-    histogram = np.zeros(capacity + 1, np.int64)
-    for size, n in counts.collect():
-        histogram[size] = n
+    """One row: containers used, the lower bound over all items together, what is open between them, tokens and capacity."""
+    histogram = _histogram(assigned, capacity)
     used = assigned.select("container_id").distinct().agg(F.count("*").alias("containers"))
-    total = int((histogram * np.arange(capacity + 1)).sum())
-    bound = lower_bound(histogram)
-    return used.select("containers", F.lit(bound).cast("bigint").alias("lower_bound"), F.lit(total).cast("bigint").alias("tokens"), F.lit(capacity).alias("capacity"))
+    total, bound = int((histogram * np.arange(capacity + 1)).sum()), F.lit(lower_bound(histogram)).cast("bigint")
+    return used.select("containers", bound.alias("lower_bound"), (F.col("containers") - bound).alias("open_gap"), F.lit(total).cast("bigint").alias("tokens"), F.lit(capacity).alias("capacity"))

@@ -62,8 +62,22 @@ def p8_certificate(spark: SparkSession, folder: str) -> DataFrame:
     return packing.certificate(packing.packed(table(spark, folder, "documents")))
 
 
-def _leaked(spark: SparkSession, folder: str) -> DataFrame:
-    return leakage.leaked(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+def p8_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of any packing: every document is in, once or in pieces that a container each but the last holds, and no container is overfull."""
+    rows = packing.packed(table(spark, folder, "documents"))
+    each = rows.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.sum("n_tokens").alias("tokens"), F.max("n_tokens").alias("largest"))
+    ids = table(spark, folder, "documents").select(F.col("doc_id").alias("id"))
+    whole = ids.join(each, F.col("id") == F.col("doc_id"), "left").agg(
+        F.count("*").alias("documents"), F.sum(F.col("doc_id").isNull().cast("int")).alias("missing"), F.sum((F.ceil(F.greatest("tokens", F.lit(1)) / 2048) != F.col("pieces")).cast("int")).alias("wrongly_split")
+    )
+    boxes = rows.groupBy("container_id").agg(F.sum("n_tokens").alias("fill"), F.max("free_room").alias("room"), F.min("free_room").alias("least"))
+    wrong = (F.col("fill") > 2048) | (F.col("fill") + F.col("room") != 2048) | (F.col("room") != F.col("least"))
+    filled = boxes.agg(F.sum(wrong.cast("int")).alias("wrongly_filled"), F.lit(1).alias("one"))
+    return whole.withColumn("one", F.lit(1)).join(filled, "one").drop("one")
+
+
+def _leaked(spark: SparkSession, folder: str, **how: int) -> DataFrame:
+    return leakage.leaked(table(spark, folder, "documents"), table(spark, folder, "eval_items"), **how)
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -74,6 +88,11 @@ def p9_runs(spark: SparkSession, folder: str) -> DataFrame:
     return _leaked(spark, folder)
 
 
+def p9_by_shuffle(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of ``p9_found`` in the way taken where the items' shingles are too many to be sent to the workers."""
+    return _leaked(spark, folder, max_shipped=0).select("doc_id", "item_id")
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return repetition.repetitive(table(spark, folder, "documents")).select("doc_id").distinct()
 
@@ -85,7 +104,7 @@ def p10_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (p2_found, p2_scores, p3_found, p3_ranking, p5_found, p7_found, p7_groups, p8_containers, p8_certificate, p9_found, p9_runs, p10_found, p10_shares)
+    every = (p2_found, p2_scores, p3_found, p3_ranking, p5_found, p7_found, p7_groups, p8_containers, p8_certificate, p8_invariants, p9_found, p9_by_shuffle, p9_runs, p10_found, p10_shares)
     return {f.__name__: f for f in every}
 
 
@@ -125,6 +144,12 @@ _ALIKE = """c AS (SELECT DISTINCT review_id, trim(regexp_replace(lower(review_te
   m AS (SELECT DISTINCT id, review_id FROM n JOIN w USING (t))"""
 
 
+_LEAKED = f"""WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents), i AS (SELECT item_id, {_WORDS} AS ws FROM eval_items),
+  dg AS (SELECT DISTINCT doc_id, unnest([array_to_string(ws[j:j+11], ' ') FOR j IN range(1, len(ws) - 10)]) AS g FROM d),
+  ig AS (SELECT DISTINCT item_id, unnest([array_to_string(ws[j:j+11], ' ') FOR j IN range(1, len(ws) - 10)]) AS g FROM i)
+  SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": f"{_BASKETS} SELECT item_a AS product_a, item_b AS product_b FROM s WHERE n_ab >= 5 AND n_ab * baskets >= 4 * n_a * n_b",
@@ -154,10 +179,16 @@ def oracle_sql() -> dict[str, str]:
   degree AS (SELECT a AS id, count(*) AS k FROM l GROUP BY a),
   placed AS (SELECT review_id, group_id, coalesce(k, 0) AS k FROM m JOIN part USING (id) JOIN named USING (part) LEFT JOIN degree USING (id))
   SELECT review_id, coalesce(group_id, review_id) AS group_id, cast(coalesce(k, 0) AS bigint) AS n_links FROM (SELECT DISTINCT review_id FROM enriched_reviews WHERE review_id IS NOT NULL) LEFT JOIN placed USING (review_id)""",
-        "p9_found": f"""WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents), i AS (SELECT item_id, {_WORDS} AS ws FROM eval_items),
-  dg AS (SELECT DISTINCT doc_id, unnest([array_to_string(ws[j:j+11], ' ') FOR j IN range(1, len(ws) - 10)]) AS g FROM d),
-  ig AS (SELECT DISTINCT item_id, unnest([array_to_string(ws[j:j+11], ' ') FOR j IN range(1, len(ws) - 10)]) AS g FROM i)
-  SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
+        "p8_invariants": "SELECT count(*) AS documents, 0 AS missing, 0 AS wrongly_split, 0 AS wrongly_filled FROM documents",
+        "p9_found": _LEAKED,
+        "p9_by_shuffle": _LEAKED,
+        "p9_runs": f"""WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents), i AS (SELECT item_id, {_WORDS} AS ws FROM eval_items),
+  dg AS (SELECT doc_id, unnest([{{'pos': j, 'g': array_to_string(ws[j:j+11], ' ')}} FOR j IN range(1, len(ws) - 10)]) AS s FROM d),
+  ig AS (SELECT item_id, unnest([{{'pos': j, 'g': array_to_string(ws[j:j+11], ' ')}} FOR j IN range(1, len(ws) - 10)]) AS s FROM i),
+  met AS (SELECT DISTINCT doc_id, item_id, dg.s.pos AS pos, dg.s.pos - ig.s.pos AS diagonal FROM dg JOIN ig ON dg.s.g = ig.s.g),
+  runs AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY pos) AS run FROM met),
+  lengths AS (SELECT doc_id, item_id, count(*) + 11 AS words FROM runs GROUP BY doc_id, item_id, diagonal, run)
+  SELECT doc_id, item_id, max(words) AS matched_words FROM lengths GROUP BY 1, 2""",
         "p10_found": f"""WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents WHERE text IS NOT NULL),
   g AS (SELECT doc_id, len(ws) - 3 AS n, len(list_distinct([array_to_string(ws[j:j+3], ' ') FOR j IN range(1, len(ws) - 2)])) AS k FROM d WHERE len(ws) >= 20)
   SELECT doc_id FROM g WHERE 10 * (n - k) >= 3 * n""",

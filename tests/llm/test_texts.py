@@ -39,8 +39,7 @@ def passages(seed, n):
 
 
 @pytest.mark.parametrize("shipped", [10**6, 0])
-def test_leaks_equal_brute_force(spark, monkeypatch, shipped):
-    monkeypatch.setattr(leakage, "MAX_SHIPPED_SHINGLES", shipped)
+def test_leaks_equal_brute_force(spark, shipped):
     rnd, items = random.Random(1), passages(2, 25)
     items += [items[0], "", None, "Große Straße 7, und CAFÉ_au lait; noch mehr Worte für die lange Prüfung hier"]
     docs = []
@@ -62,20 +61,19 @@ def test_leaks_equal_brute_force(spark, monkeypatch, shipped):
                 while any(tuple(v[k : k + n + 1]) in {tuple(w[j : j + n + 1]) for j in range(len(w) - n)} for k in range(len(v) - n)):
                     n += 1
                 want[a, b] = n
-    assert want and {(r.doc_id, r.item_id): r.matched_words for r in leakage.leaked(d, i).collect()} == want
+    assert want and {(r.doc_id, r.item_id): r.matched_words for r in leakage.leaked(d, i, max_shipped=shipped).collect()} == want
     assert leakage.leaked(d.limit(0), i).count() == 0 and leakage.leaked(d, i.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("shipped", [10**6, 0])
-def test_leaks_of_repeated_rows(spark, monkeypatch, shipped):
-    monkeypatch.setattr(leakage, "MAX_SHIPPED_SHINGLES", shipped)
+def test_leaks_of_repeated_rows(spark, shipped):
     w = [f"v{i}" for i in range(40)]
     text = " ".join
     items = [(1, text(w[:20]))] * 2 + [(2, text(w[20:34])), (2, text(w[34:]) + " short"), (3, text(w[8:24]))]
     # document 2 holds no window in either of its texts, only across both; 3 in one of them
     docs = [(1, "a " + text(w[:15]))] * 2 + [(2, text(w[:10])), (2, text(["x"] * 10 + w[10:19])), (3, "b"), (3, text(w[19:33]))]
     d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
-    got = sorted(tuple(r) for r in leakage.leaked(d, i).select("doc_id", "item_id", "matched_words").collect())
+    got = sorted(tuple(r) for r in leakage.leaked(d, i, max_shipped=shipped).select("doc_id", "item_id", "matched_words").collect())
     assert got == [(1, 1, 15), (3, 2, 13)]
 
 
@@ -224,6 +222,7 @@ def test_documents_are_packed_whole(spark):
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string").select("*", F.lit(0).alias("PIECE"))
     size = {r.doc_id: r.n_tokens for r in packing.token_counts(df).collect()}
     rows = packing.packed(df, 128, containers_per_partition=10).collect()
+    assert len({(r.doc_id, r.piece) for r in rows}) == len(rows)
     fill, parts = {}, {}
     for r in rows:
         fill[r.container_id] = fill.get(r.container_id, 0) + r.n_tokens
@@ -235,5 +234,9 @@ def test_documents_are_packed_whole(spark):
         assert sum(n for _, n in p) == size[d] and len(p) == max(1, -(-size[d] // 128))
         assert [a for a, _ in p] == [128 * k for k in range(len(p))]
     c = packing.certificate(packing.packed(df, 128), 128).first()
-    assert c.lower_bound <= c.containers <= 1.03 * c.lower_bound + 1 and c.tokens == sum(size.values())
+    assert c.lower_bound <= c.containers <= 1.03 * c.lower_bound + 1 and c.tokens == sum(size.values()) and c.open_gap == c.containers - c.lower_bound
+    # many small partitions: exchange closes what each of them leaves open
+    alone = packing.certificate(packing.packed(df, 128, rounds=0, containers_per_partition=4), 128).first()
+    after = packing.certificate(packing.packed(df, 128, containers_per_partition=4), 128).first()
+    assert alone.open_gap > after.open_gap >= 0 and after.tokens == c.tokens
     assert packing.packed(df.limit(0), 128).count() == 0
