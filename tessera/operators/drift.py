@@ -9,6 +9,7 @@ whatever the size of the files, what is shuffled by feed is one row per file and
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -236,6 +237,14 @@ def _mutual_best(scored: DataFrame, space: Workspace) -> DataFrame:
     return reduce(DataFrame.unionByName, chosen)
 
 
+@dataclass(frozen=True)
+class Inference:
+    """What one pass over the lines tells: ``changes`` from file to file, and the ``fields`` (feed_name, field_name) that occur; written tables."""
+
+    changes: DataFrame
+    fields: DataFrame
+
+
 def schema_changes(raw: DataFrame) -> DataFrame:
     """(feed_name, file_seq, file_name, field_name, old_name, change_kind, old_types, new_types).
 
@@ -244,6 +253,11 @@ def schema_changes(raw: DataFrame) -> DataFrame:
     match among those not yet matched: alternatives of one role count as alike, of two different roles
     never do, and all other names go by content alone. Exact ties go to the smaller name.
     """
+    return inferred(raw).changes
+
+
+def inferred(raw: DataFrame) -> Inference:
+    """The changes that ``schema_changes`` describes and the fields that occur, from one pass over the lines."""
     space = Workspace(raw.sparkSession, "drift")
     parsed = parsed_lines(raw)
     profiles = space.save(_profiles(parsed), "profiles")
@@ -273,7 +287,8 @@ def schema_changes(raw: DataFrame) -> DataFrame:
         .unionByName(shape(renamed.filter("old_types != new_types"), c("field_name"), c("old_name"), "retyped", c("old_types"), c("new_types")))
         .unionByName(shape(kept.filter("n.types != g.types"), c("field_name"), none, "retyped", c("g.types"), c("n.types")))
     )
-    return changes.join(steps.select("feed_name", "file_seq", "file_name"), key)
+    named = changes.join(steps.select("feed_name", "file_seq", "file_name"), key)
+    return Inference(space.save(named, "changes"), profiles.select("feed_name", "field_name").distinct())
 
 
 def nested_changes(raw: DataFrame, changes: DataFrame) -> DataFrame:
@@ -297,7 +312,7 @@ def nested_changes(raw: DataFrame, changes: DataFrame) -> DataFrame:
     return changed.join(steps.select(*key, "file_name"), key).select(*key, "file_name", "field_name", "path", "old_name", "change_kind", "old_types", "new_types")
 
 
-def role_names(raw: DataFrame, changes: DataFrame) -> DataFrame:
+def role_names(known_of: Inference) -> DataFrame:
     """(feed_name, field_name, role, evidence): the names besides those of ROLE_NAMES that carry a role in a feed.
 
     A name takes the role of the names it was renamed from or to most often in its own feed (evidence
@@ -305,8 +320,8 @@ def role_names(raw: DataFrame, changes: DataFrame) -> DataFrame:
     role. A name without such evidence takes the role that all feeds with evidence agree on (``others``);
     where they disagree it has none. All of it is one row per feed and name, in tables.
     """
-    space = Workspace(raw.sparkSession, "roles")
-    pairs = changes.filter("change_kind = 'renamed'").groupBy("feed_name", "old_name", "field_name").agg(F.count("*").alias("k"))
+    space = Workspace(known_of.fields.sparkSession, "roles")
+    pairs = known_of.changes.filter("change_kind = 'renamed'").groupBy("feed_name", "old_name", "field_name").agg(F.count("*").alias("k"))
     both = pairs.select("feed_name", F.col("old_name").alias("name"), F.col("field_name").alias("other"), "k").unionByName(pairs.select("feed_name", F.col("field_name").alias("name"), F.col("old_name").alias("other"), "k"))
     links = space.save(both.filter(_role(F.col("name")).isNull()), "links")
     own = space.save(links.select("feed_name", "name", F.lit("").alias("role")).limit(0), "own-0")
@@ -319,7 +334,7 @@ def role_names(raw: DataFrame, changes: DataFrame) -> DataFrame:
         fresh = space.save(votes.withColumn("x", first).filter("x = 1").select("feed_name", "name", "role"), f"fresh-{i}")
         own, i = space.save(own.unionByName(fresh), f"own-{i + 1}"), i + 1
     agreed = own.groupBy("name").agg(F.min("role").alias("role"), F.max("role").alias("most")).filter("role = most").select("name", "role")
-    met = tagged_fields(parsed_lines(raw)).select("feed_name", F.col("field_name").alias("name")).distinct()
+    met = known_of.fields.withColumnRenamed("field_name", "name")
     lent = met.filter(_role(F.col("name")).isNull()).join(own, ["feed_name", "name"], "left_anti").join(agreed, "name").select("feed_name", "name", "role", F.lit("others").alias("evidence"))
     return own.withColumn("evidence", F.lit("own")).unionByName(lent).withColumnRenamed("name", "field_name")
 

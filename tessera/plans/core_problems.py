@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tessera.operators import drift, orphans, skew
 from tessera.plans.views import table
-from tessera.storage import Workspace
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -19,7 +18,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 def p1_report(spark: SparkSession, folder: str) -> DataFrame:
     """Every change with its types, as text, before and after; ``path`` is '' for a field and else the place below it."""
     raw = table(spark, folder, "raw_reviews")
-    changes = Workspace(spark, "report").save(drift.schema_changes(raw), "changes")
+    changes = drift.schema_changes(raw)
     c = changes.withColumn("path", F.lit("")).unionByName(drift.nested_changes(raw, changes))
     return c.select("feed_name", "file_seq", "file_name", "field_name", "path", "old_name", "change_kind", F.array_join("old_types", "|").alias("old_types"), F.array_join("new_types", "|").alias("new_types"))
 
@@ -32,19 +31,14 @@ def p1_tagged_paths(spark: SparkSession, folder: str) -> DataFrame:
     return drift.tagged_paths(drift.parsed_lines(table(spark, folder, "raw_reviews")))
 
 
-def _roles(spark: SparkSession, raw: DataFrame) -> DataFrame:
-    changes = Workspace(spark, "changes").save(drift.schema_changes(raw), "changes")
-    return drift.role_names(raw, changes)
-
-
 def p1_roles(spark: SparkSession, folder: str) -> DataFrame:
     """The names besides the known alternatives that carry a role in a feed."""
-    return _roles(spark, table(spark, folder, "raw_reviews"))
+    return drift.role_names(drift.inferred(table(spark, folder, "raw_reviews")))
 
 
 def p1_unified(spark: SparkSession, folder: str) -> DataFrame:
     raw = table(spark, folder, "raw_reviews")
-    return drift.unified_records(raw, _roles(spark, raw))
+    return drift.unified_records(raw, drift.role_names(drift.inferred(raw)))
 
 
 def p1_known_names(spark: SparkSession, folder: str) -> DataFrame:
@@ -135,7 +129,7 @@ FROM ok LEFT JOIN stamped USING (rid) GROUP BY rid"""
 def _changes_sql() -> str:
     """Renames by reading: names of one role take over from one another, no other names do."""
     groups = ", ".join(f"('{r}', '{n}')" for r, known in drift.ROLE_NAMES.items() for n in known + OWN_NAMES.get(r, []))
-    return f"""WITH roles(role, name) AS (VALUES {groups}),
+    return f"""roles(role, name) AS (VALUES {groups}),
 ok AS (SELECT feed_name, file_seq, cast(payload AS json) AS j FROM raw_reviews WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'),
 keys AS (SELECT *, unnest(json_keys(j)) AS name FROM ok),
 kinds AS (SELECT feed_name, file_seq, name, CASE json_type(json_extract(j, '$."' || name || '"')) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object'
@@ -148,8 +142,10 @@ old AS (SELECT s.feed_name, s.file_seq, file_name, name, types, role FROM steps
 fresh AS (SELECT * FROM new ANTI JOIN old USING (feed_name, file_seq, name)),
 gone AS (SELECT * FROM old ANTI JOIN new USING (feed_name, file_seq, name)),
 renamed AS (SELECT feed_name, file_seq, f.file_name, f.name, g.name AS was, f.types, g.types AS had FROM fresh f JOIN gone g USING (feed_name, file_seq, role)
-  QUALIFY row_number() OVER (PARTITION BY feed_name, file_seq, role ORDER BY f.name, g.name) = 1)
-SELECT file_name, name AS field_name, 'renamed' AS change_kind FROM renamed
+  QUALIFY row_number() OVER (PARTITION BY feed_name, file_seq, role ORDER BY f.name, g.name) = 1)"""
+
+
+_FOUND = """SELECT file_name, name AS field_name, 'renamed' AS change_kind FROM renamed
 UNION ALL SELECT file_name, name, 'retyped' FROM renamed WHERE types <> had
 UNION ALL SELECT file_name, name, 'added' FROM fresh ANTI JOIN renamed USING (feed_name, file_seq, name)
 UNION ALL SELECT file_name, name, 'removed' FROM gone g WHERE NOT EXISTS (SELECT 1 FROM renamed r WHERE r.feed_name = g.feed_name AND r.file_seq = g.file_seq AND r.was = g.name)
@@ -163,7 +159,11 @@ def oracle_sql() -> dict[str, str]:
   typed AS (SELECT *, json_type(json_extract(j, '$."' || field_name || '"')) AS t FROM names)
   SELECT feed_name, file_seq, file_name, field_name, CASE t WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object'
     WHEN 'ARRAY' THEN 'array' WHEN 'NULL' THEN 'null' ELSE 'number' END AS json_type, count(*) AS n_values FROM typed GROUP BY 1, 2, 3, 4, 5""",
-        "p1_found": _changes_sql(),
+        "p1_found": f"WITH {_changes_sql()} {_FOUND}",
+        "p1_roles": f"""WITH {_changes_sql()},
+  own AS (SELECT feed_name, name FROM renamed UNION SELECT feed_name, was FROM renamed)
+  SELECT DISTINCT feed_name, name AS field_name, role, CASE WHEN (feed_name, name) IN (SELECT (feed_name, name) FROM own) THEN 'own' ELSE 'others' END AS evidence
+  FROM fields WHERE role IS NOT NULL AND name NOT IN ({", ".join(f"'{n}'" for known in drift.ROLE_NAMES.values() for n in known)})""",
         "p1_unified": _unified_sql(OWN_NAMES),
         "p1_known_names": _unified_sql({}),
         "p1_lines": """SELECT feed_name, file_seq, file_name, count(*) AS lines, count(*) FILTER (good) AS well_formed, count(*) FILTER (NOT good) AS malformed

@@ -14,6 +14,7 @@ from tessera.functions.timebuckets import time_bucket, to_seconds
 from tessera.operators import graph, groups, pairs, reviews, score
 from tessera.plans import pipeline
 from tessera.plans import views as V
+from tessera.sources.console import report
 from tessera.sources.jsonl import metadata_records, read_metadata, read_reviews, review_records
 from tessera.sources.parquet import read_enriched, write_enriched
 from tessera.storage import Workspace
@@ -233,6 +234,12 @@ def top_components(spark: SparkSession, folder: str) -> DataFrame:
     return score.rank_components(_scores("bounded")(spark, folder), PipelineConfig().top_k)
 
 
+def console_report(spark: SparkSession, folder: str) -> DataFrame:
+    """The printed report, one row per line."""
+    lines = report(_scores("bounded")(spark, folder), PipelineConfig().top_k).split("\n")
+    return spark.createDataFrame(list(enumerate(lines)), "line_no int, line string")
+
+
 def component_count(spark: SparkSession, folder: str) -> DataFrame:
     return _scores("bounded")(spark, folder).agg(F.count("*").alias("components"))
 
@@ -274,6 +281,7 @@ def queries() -> dict[str, Query]:
         "coordination_scores_as_coded": _scores("as_coded"),
         "top_components": top_components,
         "component_count": component_count,
+        "console_report": console_report,
     }
 
 
@@ -398,5 +406,10 @@ def _oracle_sql() -> dict[str, str]:
         "coordination_scores_converged": f"WITH RECURSIVE {_scores_sql('converged')} SELECT * FROM scores",
         "coordination_scores_as_coded": f"WITH {_scores_sql('as_coded')} SELECT * FROM scores",
         "top_components": f"WITH RECURSIVE {_scores_sql('bounded')} SELECT * FROM scores ORDER BY coordination_score DESC, component_id LIMIT 20",
+        "console_report": f"""WITH RECURSIVE {_scores_sql('bounded')},
+  best AS (SELECT *, row_number() OVER (ORDER BY coordination_score DESC, component_id) AS place FROM scores)
+  SELECT cast(0 AS integer) AS line_no, 'components: ' || count(*) AS line FROM scores UNION ALL
+  SELECT cast(place AS integer), printf('%3d. %s  users=%d edges=%d repeats=%d density=%.4f repetition=%.4f score=%.4f', place, component_id, user_count, edge_count, total_repeated_groups,
+    edge_density, average_repetition, coordination_score) FROM best WHERE place <= 20""",
         "component_count": f"WITH RECURSIVE {_scores_sql('bounded')} SELECT count(*) AS components FROM scores",
     }

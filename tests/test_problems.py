@@ -101,7 +101,7 @@ def test_malformed_lines_are_counted(spark):
 
 
 def roles(df):
-    return {(r.feed_name, r.field_name): (r.role, r.evidence) for r in drift.role_names(df, drift.schema_changes(df)).collect()}
+    return {(r.feed_name, r.field_name): (r.role, r.evidence) for r in drift.role_names(drift.inferred(df)).collect()}
 
 
 def test_role_names_follow_renames_of_their_feed(spark):
@@ -116,7 +116,7 @@ def test_role_names_follow_renames_of_their_feed(spark):
     assert got["g", "wording"] == ("product_id", "own")
     assert got["h", "a3"] == ("review_text", "others") and ("h", "wording") not in got
     df = raw(spark, files)
-    rows = drift.unified_records(df, drift.role_names(df, drift.schema_changes(df)))
+    rows = drift.unified_records(df, drift.role_names(drift.inferred(df)))
     assert rows.filter("review_text is not null").groupBy("feed_name").count().collect() != []
     assert {(r.feed_name, r.review_text_name or r.product_id_name) for r in rows.filter("feed_name != 'f'").collect()} == {("g", "asin"), ("g", "wording"), ("h", "a3")}
 
