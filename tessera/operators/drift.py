@@ -140,7 +140,8 @@ def _profiles(parsed: DataFrame) -> DataFrame:
     words = F.size(F.split(F.trim(text), r"\s+")).cast("double")
     share = lambda test: F.avg(F.when(text.isNotNull(), test.cast("double")))
     types = F.sort_array(F.collect_set("json_type"))  # at most five values
-    opening = F.ascii(text).bitwiseAND(F.lit(OPENINGS - 1))  # upper and lower case fall together
+    # upper and lower case fall together; with as many bins as classes the histogram is exact
+    opening = F.ascii(text).bitwiseAND(F.lit(OPENINGS - 1))
     values = field_values(parsed)
     per_field = values.groupBy("feed_name", "file_seq", "file_name", "field_name").agg(
         types.alias("types"),
@@ -155,10 +156,14 @@ def _profiles(parsed: DataFrame) -> DataFrame:
         share(number == 0).alias("zero"),
         F.avg(F.log10(F.abs(number) + 1)).alias("magnitude"),
         F.approx_count_distinct(text).cast("double").alias("distinct"),
-        F.array(*[share(opening == i) for i in range(OPENINGS)]).alias("openings"),
+        F.histogram_numeric(opening, F.lit(OPENINGS)).alias("bins"),
     )
+    # a class may come in several bins
+    of_class = lambda i: F.aggregate(F.filter("bins", lambda e: e["x"] == i), F.lit(0.0), lambda s, e: s + e["y"])
+    openings = F.transform(F.sequence(F.lit(0), F.lit(OPENINGS - 1)), of_class)
     lines = parsed.filter(F.col("v").isNotNull()).groupBy("feed_name", "file_seq").agg(F.count("*").cast("double").alias("n_lines"))
-    return per_field.join(lines, ["feed_name", "file_seq"]).withColumn("presence", F.col("lines") / F.col("n_lines"))
+    out = per_field.withColumn("openings", openings).drop("bins").join(lines, ["feed_name", "file_seq"])
+    return out.withColumn("presence", F.col("lines") / F.col("n_lines"))
 
 
 def _role(name: Column) -> Column:
@@ -180,7 +185,8 @@ def _similarity(g: str, n: str) -> Column:
     ratio = lambda c, plus: quotient(a(c), b(c), plus)
     numbers = ratio("magnitude", 0.1) * near("zero")
     texts = ratio("chars", 2.0) * F.sqrt(ratio("words", 0.5)) * (0.6 + 0.2 * near("upper") + 0.2 * near("lower"))
-    begun = F.aggregate(F.zip_with(f"{g}.openings", f"{n}.openings", lambda x, y: F.coalesce(F.sqrt(x * y), F.lit(0.0))), F.lit(0.0), lambda x, y: x + y)
+    met = F.aggregate(F.zip_with(f"{g}.openings", f"{n}.openings", lambda x, y: F.sqrt(x * y)), F.lit(0.0), lambda x, y: x + y)
+    begun = met / F.greatest(F.sqrt(a("filled") * b("filled")), F.lit(1.0))
     values = F.when((a("numeric") > 0.9) & (b("numeric") > 0.9), numbers).otherwise(texts) * (0.5 + 0.5 * begun)
     kinds = near("truth") * (0.5 + 0.5 * near("numeric"))
     both = (a("presence") * a("n_lines") + b("presence") * b("n_lines")) / (a("n_lines") + b("n_lines"))
