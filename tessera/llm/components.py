@@ -46,17 +46,8 @@ def _state(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count("*"), F.bit_xor(key), F.sum(F.shiftright(key, 20))).first())
 
 
-def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(member, group_id): every linked record with the least identifier of its component.
-
-    ``links`` has the columns u > v without repeats, of any ordered type. Each round and its table of
-    minima are written to the shared folder and the ones before are deleted; so both sides of every join
-    are read from tables, the one with the minima has one row per record, and the adaptive planner
-    splits the links of a hub. An empty edge set gives an empty result. The loop ends
-    when a round leaves the edges unchanged (same count and hashes); then they are stars around the
-    least member.
-    """
-    space = Workspace(links.sparkSession, "stars")
+def _star_forest(links: DataFrame, space: Workspace, max_rounds: int) -> DataFrame:
+    """(member, root) of every linked record, the root being the least member of its component."""
     now, name = space.save(links, "round-0"), "round-0"
     state = _state(now)
     for i in range(1, max_rounds + 1):
@@ -70,6 +61,36 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         now, name = new, f"round-{i}"
         if after == state:
             roots = now.select(F.col("v").alias("member")).distinct()
-            return now.select(F.col("u").alias("member"), F.col("v").alias("group_id")).union(roots.select("member", F.col("member").alias("group_id")))
+            return now.select(F.col("u").alias("member"), F.col("v").alias("root")).union(roots.select("member", F.col("member").alias("root")))
         state = after
     raise RuntimeError(f"the edges still change after {max_rounds} rounds")
+
+
+def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(member, group_id): every linked record with the least identifier of its component.
+
+    ``links`` has the columns u > v, of any ordered type; repeats do no harm. Identifiers that
+    aren't bigint are stood for by 64-bit keys while edges are rewritten, which makes rows short and lets
+    minima be kept in hash tables; keys are checked to be different for different identifiers, and
+    chosen again if not. Each round and its table of minima are written to the shared folder and the ones
+    before are deleted; so both sides of every join are read from tables, the one with the minima has one
+    row per record, and the adaptive planner splits the links of a hub. An empty edge set gives an empty
+    result. The loop ends when a round leaves the edges unchanged (same count and hashes); then they are
+    stars around the least member.
+    """
+    space = Workspace(links.sparkSession, "stars")
+    if links.schema["u"].dataType.typeName() == "long":
+        return _star_forest(links, space, max_rounds).withColumnRenamed("root", "group_id")
+    given = space.save(links.select("u", "v"), "given")
+    ids = space.save(given.select(F.col("u").alias("id")).union(given.select("v")).distinct(), "ids")
+    for seed in range(64):
+        key = lambda c: F.xxhash64(F.lit(seed), c)  # noqa: B023, E731
+        if ids.groupBy(key(F.col("id"))).agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+            break
+    else:
+        raise RuntimeError("no keys tell the identifiers apart")
+    x, y = key(F.col("u")), key(F.col("v"))
+    forest = _star_forest(given.select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")), space, max_rounds)
+    named = space.save(ids.withColumn("member", key(F.col("id"))).join(space.save(forest, "forest"), "member").select("id", "root"), "named")
+    least = space.save(named.groupBy("root").agg(F.min("id").alias("group_id")), "least")
+    return named.join(least, "root").select(F.col("id").alias("member"), "group_id")
