@@ -20,8 +20,10 @@ from tessera.llm import textgrams as G
 from tessera.shipping import ship_package
 from tessera.storage import Workspace
 
-#: Item shingles up to this number (8 bytes each) go to the workers as one sorted array.
-MAX_SHIPPED_SHINGLES = 2_000_000
+#: Bits of the filter of item shingles that goes to the workers, a multiple of PIECE: 2 MB, however many items there are.
+FILTER_BITS = 1 << 24
+#: Fixed value: bits of one bitmap of the built-in aggregate.
+PIECE = 32_768
 
 
 def plain_words(text: Column) -> Column:
@@ -29,19 +31,33 @@ def plain_words(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
 
 
+def shingle_filter(known: DataFrame, bits: int) -> np.ndarray:
+    """One truth value per remainder of a shingle by ``bits``: whether some shingle in ``known`` has it.
+
+    Built as bitmaps by the executors; bits / PIECE rows of 4 KB reach the driver."""
+    at = F.pmod("shingle", F.lit(bits))
+    pieces = known.groupBy(F.floor(at / PIECE).cast("int").alias("piece")).agg(F.bitmap_construct_agg(at % PIECE).alias("bitmap"))
+    out = np.zeros(bits, bool)
+    for piece, bitmap in pieces.collect():
+        out[piece * PIECE : (piece + 1) * PIECE] = np.unpackbits(np.frombuffer(bytes(bitmap), np.uint8), bitorder="little")
+    return out
+
+
 def shingles(texts: DataFrame, shingle: int, keep: np.ndarray | None = None) -> DataFrame:
-    """(id, version, pos, shingle) of the shingles of ``texts`` (id, words); only those in the sorted array ``keep`` if given.
+    """(id, version, pos, shingle) of the shingles of ``texts`` (id, words); only those that pass the filter ``keep`` if given.
 
     ``version`` is a hash of the words: it tells apart different texts under one id, and is the same for repeated rows."""
+    packed = None if keep is None else np.packbits(keep)
+    bits = None if keep is None else np.uint64(len(keep))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = None if packed is None else np.unpackbits(packed).astype(bool)
         for batch in batches:
             ids, versions = batch.column(0), batch.column(2)
             for c in G.chunks(batch.column(1)):
                 doc, pos, h = c.grams(shingle)
-                if keep is not None:
-                    at = np.minimum(np.searchsorted(keep, h), max(len(keep) - 1, 0))
-                    found = np.flatnonzero(keep[at] == h) if len(keep) else np.zeros(0, np.int64)
+                if passes is not None:
+                    found = np.flatnonzero(passes[(h % bits).astype(np.int64)])
                     doc, pos, h = doc[found], pos[found], h[found]
                 if len(doc):
                     at = pa.array(doc + c.first)
@@ -51,18 +67,22 @@ def shingles(texts: DataFrame, shingle: int, keep: np.ndarray | None = None) ->
     return texts.select("id", "words", F.xxhash64("words").alias("version")).mapInArrow(emit, "id bigint, version bigint, pos int, shingle bigint")
 
 
-def leaked(documents: DataFrame, items: DataFrame, window: int = 12, shingle: int = 5, max_shipped: int = MAX_SHIPPED_SHINGLES) -> DataFrame:
+def leaked(documents: DataFrame, items: DataFrame, window: int = 12, shingle: int = 5, filter_bits: int = FILTER_BITS) -> DataFrame:
     """(doc_id, item_id, matched_words): documents holding at least ``window`` consecutive words of an item,
     with the length in words of the longest such run.
 
     Both tables need a bigint id and ``text``. Null and empty texts and items shorter than ``window`` words
     match nothing. A repeated row counts once; several texts under one id are matched each by itself, and
-    the id has what any of them has. One pass over the documents keeps the positions of shingles that occur in any item,
-    usually a small part; everything after works on those positions. Item shingles are shipped to the
-    workers while they number at most ``max_shipped``, and beyond that joined by shuffle; the rows are the same.
+    the id has what any of them has. One pass over the documents keeps the positions of shingles that pass a
+    filter of fixed size; those that occur in an item, usually a small part, are joined with the items'
+    shingles, and everything after works on these positions. The more shingles the items have, the more
+    pass the filter; the join tells them apart, so the rows don't depend on ``filter_bits``, a power of two
+    of at least PIECE.
     """
     if not 1 <= shingle <= window:
         raise ValueError("a shingle has 1 to window words")
+    if filter_bits < PIECE or filter_bits & (filter_bits - 1):
+        raise ValueError(f"the filter has a power of two of bits, at least {PIECE}")
     documents, items = pick(documents, "doc_id", "text"), pick(items, "item_id", "text")
     space = Workspace(documents.sparkSession, "leakage")
     span = window - shingle + 1  # shingles of a window
@@ -71,10 +91,7 @@ def leaked(documents: DataFrame, items: DataFrame, window: int = 12, shingle: in
     own = space.save(shingles(item_words.distinct(), shingle).toDF(*item, "item_pos", "shingle"), "items")
     texts = documents.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("id"), plain_words(F.col("text")).alias("words"))
     known = space.save(own.select("shingle").distinct(), "known")
-    if known.count() <= max_shipped:
-        found = shingles(texts, shingle, np.sort(known.toPandas()["shingle"].to_numpy().astype(np.int64).view(np.uint64)))
-    else:
-        found = shingles(texts, shingle).join(known, "shingle", "left_semi")
+    found = shingles(texts, shingle, shingle_filter(known, filter_bits)).join(known, "shingle", "left_semi")
     # distinct only here, where repeated documents are small
     hits = space.save(found.select("id", "version", "pos", "shingle").toDF(*doc, "doc_pos", "shingle").distinct(), "hits")
 

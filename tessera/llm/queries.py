@@ -76,8 +76,8 @@ def p8_invariants(spark: SparkSession, folder: str) -> DataFrame:
     return whole.withColumn("one", F.lit(1)).join(filled, "one").drop("one")
 
 
-def _leaked(spark: SparkSession, folder: str, **how: int) -> DataFrame:
-    return leakage.leaked(table(spark, folder, "documents"), table(spark, folder, "eval_items"), **how)
+def _leaked(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaked(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -88,11 +88,6 @@ def p9_runs(spark: SparkSession, folder: str) -> DataFrame:
     return _leaked(spark, folder)
 
 
-def p9_by_shuffle(spark: SparkSession, folder: str) -> DataFrame:
-    """The rows of ``p9_found`` in the way taken where the items' shingles are too many to be sent to the workers."""
-    return _leaked(spark, folder, max_shipped=0).select("doc_id", "item_id")
-
-
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return repetition.repetitive(table(spark, folder, "documents")).select("doc_id").distinct()
 
@@ -104,7 +99,7 @@ def p10_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (p2_found, p2_scores, p3_found, p3_ranking, p5_found, p7_found, p7_groups, p8_containers, p8_certificate, p8_invariants, p9_found, p9_by_shuffle, p9_runs, p10_found, p10_shares)
+    every = (p2_found, p2_scores, p3_found, p3_ranking, p5_found, p7_found, p7_groups, p8_containers, p8_certificate, p8_invariants, p9_found, p9_runs, p10_found, p10_shares)
     return {f.__name__: f for f in every}
 
 
@@ -181,7 +176,6 @@ def oracle_sql() -> dict[str, str]:
   SELECT review_id, coalesce(group_id, review_id) AS group_id, cast(coalesce(k, 0) AS bigint) AS n_links FROM (SELECT DISTINCT review_id FROM enriched_reviews WHERE review_id IS NOT NULL) LEFT JOIN placed USING (review_id)""",
         "p8_invariants": "SELECT count(*) AS documents, 0 AS missing, 0 AS wrongly_split, 0 AS wrongly_filled FROM documents",
         "p9_found": _LEAKED,
-        "p9_by_shuffle": _LEAKED,
         "p9_runs": f"""WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents), i AS (SELECT item_id, {_WORDS} AS ws FROM eval_items),
   dg AS (SELECT doc_id, unnest([{{'pos': j, 'g': array_to_string(ws[j:j+11], ' ')}} FOR j IN range(1, len(ws) - 10)]) AS s FROM d),
   ig AS (SELECT item_id, unnest([{{'pos': j, 'g': array_to_string(ws[j:j+11], ' ')}} FOR j IN range(1, len(ws) - 10)]) AS s FROM i),

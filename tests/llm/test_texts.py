@@ -38,8 +38,8 @@ def passages(seed, n):
     return [" ".join(rnd.choice(VOCABULARY) for _ in range(k)) for k in [rnd.randrange(5, 60) for _ in range(n)]]
 
 
-@pytest.mark.parametrize("shipped", [10**6, 0])
-def test_leaks_equal_brute_force(spark, shipped):
+@pytest.mark.parametrize("bits", [leakage.FILTER_BITS, leakage.PIECE])
+def test_leaks_equal_brute_force(spark, bits):
     rnd, items = random.Random(1), passages(2, 25)
     items += [items[0], "", None, "Große Straße 7, und CAFÉ_au lait; noch mehr Worte für die lange Prüfung hier"]
     docs = []
@@ -61,22 +61,34 @@ def test_leaks_equal_brute_force(spark, shipped):
                 while any(tuple(v[k : k + n + 1]) in {tuple(w[j : j + n + 1]) for j in range(len(w) - n)} for k in range(len(v) - n)):
                     n += 1
                 want[a, b] = n
-    assert want and {(r.doc_id, r.item_id): r.matched_words for r in leakage.leaked(d, i, max_shipped=shipped).collect()} == want
+    assert want and {(r.doc_id, r.item_id): r.matched_words for r in leakage.leaked(d, i, filter_bits=bits).collect()} == want
     assert leakage.leaked(d.limit(0), i).count() == 0 and leakage.leaked(d, i.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("shipped", [10**6, 0])
-def test_leaks_of_repeated_rows(spark, shipped):
+@pytest.mark.parametrize("bits", [leakage.FILTER_BITS, leakage.PIECE])
+def test_leaks_of_repeated_rows(spark, bits):
     w = [f"v{i}" for i in range(40)]
     text = " ".join
     items = [(1, text(w[:20]))] * 2 + [(2, text(w[20:34])), (2, text(w[34:]) + " short"), (3, text(w[8:24]))]
     # document 2 holds no window in either of its texts, only across both; 3 in one of them
     docs = [(1, "a " + text(w[:15]))] * 2 + [(2, text(w[:10])), (2, text(["x"] * 10 + w[10:19])), (3, "b"), (3, text(w[19:33]))]
     d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
-    got = sorted(tuple(r) for r in leakage.leaked(d, i, max_shipped=shipped).select("doc_id", "item_id", "matched_words").collect())
+    got = sorted(tuple(r) for r in leakage.leaked(d, i, filter_bits=bits).select("doc_id", "item_id", "matched_words").collect())
     assert got == [(1, 1, 15), (3, 2, 13)]
 
 
+def test_the_filter_lets_every_known_shingle_through(spark):
+    rnd = np.random.default_rng(5)
+    known = rnd.integers(-(1 << 63), 1 << 63, 5_000, dtype=np.int64)
+    df = spark.createDataFrame([(int(x),) for x in known], "shingle bigint")
+    for bits in (leakage.PIECE, 1 << 20):
+        passes = leakage.shingle_filter(df, bits)
+        assert np.flatnonzero(passes).tolist() == sorted({int(x) % bits for x in known})
+    assert not leakage.shingle_filter(df.limit(0), leakage.PIECE).any()
+    with pytest.raises(ValueError):
+        leakage.leaked(df.selectExpr("1L AS doc_id", "'' AS text"), df.selectExpr("1L AS item_id", "'' AS text"), filter_bits=5)
+
+
 def edited(rnd, w):
     w = list(w)
     for _ in range(rnd.randrange(0, 7)):
