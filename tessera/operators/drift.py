@@ -351,23 +351,28 @@ def line_counts(raw: DataFrame) -> DataFrame:
     return parsed_lines(raw).groupBy("feed_name", "file_seq", "file_name").agg(F.count("*").alias("lines"), good.alias("well_formed"), (F.count("*") - good).alias("malformed"))
 
 
+def _flag(value: Column) -> Column:
+    return F.coalesce(F.lower(canonical_text(value)) == "true", F.lit(False))
+
+
+def _whole(value: Column) -> Column:
+    """A number as it is, other values if their text is a whole number; else null."""
+    kind, text = json_type(value), canonical_text(value)
+    return F.when((kind == "number") | ((kind != "boolean") & text.rlike(INTEGER_TEXT)), text.try_cast("decimal(38,6)"))
+
+
 def _branches(value: Column) -> Column:
-    """JSON type, canonical text and typed branches of a variant, and what it is as a number, whole number and flag."""
-    kind, plain, text = json_type(value), F.try_variant_get(value, "$", "string"), canonical_text(value)
+    """JSON type, canonical text and typed branches of a variant."""
+    kind, plain = json_type(value), F.try_variant_get(value, "$", "string")
     digits = F.length(F.regexp_replace(F.regexp_replace(plain, "[eE].*$", ""), r"^[-0.]+|[-.]", ""))
-    whole = kind.isin("object", "array") | ((kind == "number") & (digits > 15))
-    integer = F.when(kind == "number", text.try_cast("decimal(38,6)")).when((kind != "boolean") & text.rlike(INTEGER_TEXT), text.try_cast("decimal(38,6)"))
+    long = kind.isin("object", "array") | ((kind == "number") & (digits > 15))
     return F.struct(
         kind.alias("kind"),
-        text.alias("text"),
+        canonical_text(value).alias("text"),
         F.when(kind == "string", plain).alias("string"),
         F.when(kind == "number", F.try_variant_get(value, "$", "double")).alias("number"),
         F.when(kind == "boolean", F.try_variant_get(value, "$", "boolean")).alias("boolean"),
-        F.when(whole, F.to_json(value)).alias("json"),
-        F.coalesce(F.when(kind != "boolean", text.try_cast("double")), F.lit(0.0)).alias("as_double"),
-        F.coalesce(integer.try_cast("bigint"), F.lit(0).cast("bigint")).alias("as_long"),
-        F.coalesce(integer.try_cast("int"), F.lit(0)).alias("as_int"),
-        F.coalesce(F.lower(text) == "true", F.lit(False)).alias("as_flag"),
+        F.when(long, F.to_json(value)).alias("json"),
     )
 
 
@@ -395,28 +400,29 @@ def unified_records(raw: DataFrame, names: DataFrame | None = None) -> DataFrame
         more = listed.groupBy("feed_name").agg(F.map_from_entries(F.collect_list(per_role)).alias("more"))
         parsed = parsed.join(Workspace(raw.sparkSession, "names").save(more, "more"), "feed_name", "left")
 
-    def pick_value(role: str) -> Column:
+    def pick_name(role: str) -> Column:
         all_names = F.concat(F.array(*map(F.lit, ROLE_NAMES[role])), F.coalesce(F.element_at("more", role), F.array().cast("array<string>")))
         there = F.filter(all_names, lambda n: F.coalesce(F.schema_of_variant(F.element_at("m", n)) != "VOID", F.lit(False)))
-        found = F.transform(there, lambda n: F.struct(n.alias("name"), _branches(F.element_at("m", n)).alias("b")))
-        wanted = {"verified_purchase": lambda x: x["b"]["as_flag"], "helpful_votes": lambda x: x["b"]["as_int"] != 0}.get(role)
-        return F.get(found, 0) if wanted is None else F.coalesce(F.get(F.filter(found, wanted), 0), F.get(found, 0))
-
-    chosen = parsed.select("feed_name", "file_name", "file_seq", "line_no", *[pick_value(r).alias(r) for r in ROLE_NAMES])
-    b = lambda r: F.col(f"{r}.b")
+        wanted = {"verified_purchase": lambda n: _flag(F.element_at("m", n)), "helpful_votes": lambda n: F.coalesce(_whole(F.element_at("m", n)).try_cast("int") != 0, F.lit(False))}.get(role)
+        first = F.get(there, 0)
+        return first if wanted is None else F.when(F.size(there) < 2, first).otherwise(F.coalesce(F.get(F.filter(there, wanted), 0), first))
+
+    at = ["feed_name", "file_name", "file_seq", "line_no"]
+    named = parsed.select(*at, "m", *[pick_name(r).alias(f"{r}_name") for r in ROLE_NAMES])
+    valued = named.select(*at, *[f"{r}_name" for r in ROLE_NAMES], *[F.element_at("m", F.col(f"{r}_name")).alias(f"{r}_value") for r in ROLE_NAMES])
+    chosen = valued.select("*", *[_branches(F.col(f"{r}_value")).alias(r) for r in ROLE_NAMES])
+    b = lambda r: F.col(r)
+    zero = lambda to: F.lit(0).cast(to)
     return chosen.select(
-        "feed_name",
-        "file_name",
-        "file_seq",
-        "line_no",
+        *at,
         b("user_id")["text"].alias("user_id"),
         b("product_id")["text"].alias("product_id"),
         b("review_text")["text"].alias("review_text"),
-        F.coalesce(b("rating")["as_double"], F.lit(0.0)).alias("rating"),
-        to_seconds(F.coalesce(b("timestamp")["as_long"], F.lit(0).cast("bigint"))).alias("timestamp"),
-        F.coalesce(b("verified_purchase")["as_flag"], F.lit(False)).alias("verified_purchase"),
-        F.coalesce(b("helpful_votes")["as_int"], F.lit(0)).alias("helpful_votes"),
+        F.coalesce(F.when(b("rating")["kind"] != "boolean", b("rating")["text"].try_cast("double")), F.lit(0.0)).alias("rating"),
+        to_seconds(F.coalesce(_whole(F.col("timestamp_value")).try_cast("bigint"), zero("bigint"))).alias("timestamp"),
+        _flag(F.col("verified_purchase_value")).alias("verified_purchase"),
+        F.coalesce(_whole(F.col("helpful_votes_value")).try_cast("int"), zero("int")).alias("helpful_votes"),
         *[b(r)["kind"].alias(f"{r}_type") for r in ROLE_NAMES],
-        *[F.col(f"{r}.name").alias(f"{r}_name") for r in ROLE_NAMES],
+        *[f"{r}_name" for r in ROLE_NAMES],
         *[b(r)[t].alias(f"{r}_{t}") for r in ROLE_NAMES for t in ("string", "number", "boolean", "json")],
     )

@@ -145,6 +145,32 @@ renamed AS (SELECT feed_name, file_seq, f.file_name, f.name, g.name AS was, f.ty
   QUALIFY row_number() OVER (PARTITION BY feed_name, file_seq, role ORDER BY f.name, g.name) = 1)"""
 
 
+_PATHS = """top AS (SELECT feed_name, file_seq, file_name, cast(payload AS json) AS j FROM raw_reviews WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'),
+named AS (SELECT *, unnest(json_keys(j)) AS field_name FROM top),
+tree AS (SELECT feed_name, file_seq, file_name, field_name, '' AS path, json_extract(j, '$."' || field_name || '"') AS v FROM named
+  UNION ALL SELECT feed_name, file_seq, file_name, field_name, path || part.step, part.v FROM (
+    SELECT *, unnest(CASE json_type(v)
+      WHEN 'OBJECT' THEN [{'step': '["' || replace(replace(k, '\\', '\\\\'), '"', '\\"') || '"]', 'v': json_extract(v, '$."' || k || '"')} FOR k IN json_keys(v)]
+      WHEN 'ARRAY' THEN [{'step': '[*]', 'v': e} FOR e IN cast(v AS json[])] ELSE [] END) AS part FROM tree)),
+paths AS (SELECT feed_name, file_seq, file_name, field_name, path, CASE json_type(v) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object'
+  WHEN 'ARRAY' THEN 'array' WHEN 'NULL' THEN 'null' ELSE 'number' END AS json_type, count(*) AS n_values FROM tree GROUP BY ALL)"""
+
+_REPORT = """changes AS (
+  SELECT feed_name, file_seq, file_name, name AS field_name, was AS old_name, 'renamed' AS change_kind, had AS old_t, types AS new_t FROM renamed
+  UNION ALL SELECT feed_name, file_seq, file_name, name, was, 'retyped', had, types FROM renamed WHERE types <> had
+  UNION ALL SELECT feed_name, file_seq, file_name, name, NULL, 'added', NULL, types FROM fresh ANTI JOIN renamed USING (feed_name, file_seq, name)
+  UNION ALL SELECT feed_name, file_seq, file_name, name, NULL, 'removed', types, NULL FROM gone g WHERE NOT EXISTS (SELECT 1 FROM renamed r WHERE r.feed_name = g.feed_name AND r.file_seq = g.file_seq AND r.was = g.name)
+  UNION ALL SELECT feed_name, file_seq, new.file_name, name, NULL, 'retyped', old.types, new.types FROM new JOIN old USING (feed_name, file_seq, name) WHERE new.types <> old.types),
+below AS (SELECT feed_name, file_seq, field_name, path, list_sort(list_distinct(list(json_type) FILTER (json_type <> 'null'))) AS types FROM paths WHERE path <> '' GROUP BY ALL),
+newer AS (SELECT feed_name, file_seq, field_name, path, coalesce(types, []) AS new_t FROM steps JOIN below USING (feed_name, file_seq)),
+older AS (SELECT s.feed_name, s.file_seq, coalesce(r.name, b.field_name) AS field_name, path, r.was AS old_name, coalesce(b.types, []) AS old_t
+  FROM steps s JOIN below b ON b.feed_name = s.feed_name AND b.file_seq = s.before LEFT JOIN renamed r ON r.feed_name = s.feed_name AND r.file_seq = s.file_seq AND r.was = b.field_name),
+nested AS (SELECT feed_name, file_seq, field_name, path, old_name, CASE WHEN old_t IS NULL THEN 'added' WHEN new_t IS NULL THEN 'removed' WHEN old_t <> new_t THEN 'retyped' END AS change_kind, old_t, new_t
+  FROM newer FULL JOIN older USING (feed_name, file_seq, field_name, path)
+  ANTI JOIN (SELECT feed_name, file_seq, field_name FROM changes WHERE change_kind IN ('added', 'removed')) USING (feed_name, file_seq, field_name))
+SELECT feed_name, file_seq, file_name, field_name, '' AS path, old_name, change_kind, array_to_string(old_t, '|') AS old_types, array_to_string(new_t, '|') AS new_types FROM changes
+UNION ALL SELECT feed_name, file_seq, file_name, field_name, path, old_name, change_kind, array_to_string(old_t, '|'), array_to_string(new_t, '|') FROM nested JOIN steps USING (feed_name, file_seq) WHERE change_kind IS NOT NULL"""
+
 _FOUND = """SELECT file_name, name AS field_name, 'renamed' AS change_kind FROM renamed
 UNION ALL SELECT file_name, name, 'retyped' FROM renamed WHERE types <> had
 UNION ALL SELECT file_name, name, 'added' FROM fresh ANTI JOIN renamed USING (feed_name, file_seq, name)
@@ -160,6 +186,8 @@ def oracle_sql() -> dict[str, str]:
   SELECT feed_name, file_seq, file_name, field_name, CASE t WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object'
     WHEN 'ARRAY' THEN 'array' WHEN 'NULL' THEN 'null' ELSE 'number' END AS json_type, count(*) AS n_values FROM typed GROUP BY 1, 2, 3, 4, 5""",
         "p1_found": f"WITH {_changes_sql()} {_FOUND}",
+        "p1_tagged_paths": f"WITH RECURSIVE {_PATHS} SELECT * FROM paths",
+        "p1_report": f"WITH RECURSIVE {_changes_sql()}, {_PATHS}, {_REPORT}",
         "p1_roles": f"""WITH {_changes_sql()},
   own AS (SELECT feed_name, name FROM renamed UNION SELECT feed_name, was FROM renamed)
   SELECT DISTINCT feed_name, name AS field_name, role, CASE WHEN (feed_name, name) IN (SELECT (feed_name, name) FROM own) THEN 'own' ELSE 'others' END AS evidence
