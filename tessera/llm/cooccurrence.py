@@ -47,7 +47,8 @@ def user_day_baskets(reviews: DataFrame) -> DataFrame:
 class PairTable:
     """Persistent pair counts under ``root``; ``apply`` brings in a batch of changes.
 
-    Without ``buckets`` a stored table keeps its own number and a new one takes it from its first batch."""
+    Without ``root`` the table is one of the application's intermediate tables and goes with them. Without
+    ``buckets`` a stored table keeps its own number and a new one takes it from its first batch."""
 
     def __init__(self, spark: SparkSession, root: str | None = None, buckets: int | None = None, min_support: int = 5, lift: int = 4, block_size: int = 512):
         self.spark, self.buckets, self.min_support, self.lift, self.block_size = spark, buckets, min_support, lift, block_size
@@ -88,7 +89,7 @@ class PairTable:
     def _commit(self, version: int, baskets: int, files: dict[str, dict[str, str]]) -> None:
         """Write the manifest of the new version, take it as the present state and delete what only older versions name."""
         state = {"version": version, "baskets": baskets, "files": files, "buckets": self.buckets, "pairs": "all"}
-        self.spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("overwrite").text(self.space.path(f"manifest-{version}"))
+        self.spark.range(1).select(F.lit(json.dumps(state)).alias("value")).coalesce(1).write.mode("overwrite").text(self.space.path(f"manifest-{version}"))
         older = {p for t in _TABLES for p in self.before[t].values()} - {p for f in (files, self.files) for t in _TABLES for p in f[t].values()}
         self.before, self.version, self.baskets, self.files = self.files, version, baskets, files
         for path in older:
@@ -105,7 +106,7 @@ class PairTable:
         schema, _ = _TABLES[table]
         paths = sorted({p for b, p in self.files[table].items() if only is None or b in only})
         if not paths:
-            return self.spark.createDataFrame([], schema)
+            return self._empty(table)
         return self.spark.read.schema(schema).parquet(*paths)
 
     def _store(self, table: str, rows: DataFrame, touched: set[str], most: int) -> dict[str, str]:
@@ -124,8 +125,13 @@ class PairTable:
         kept = {b: p for b, p in self.files[table].items() if b not in touched}
         return kept | {b: f"{self.space.path(name)}/bucket={b}" for b in made}
 
-    def _buckets_of(self, table: str, rows: DataFrame) -> set[str]:
-        return {str(b) for (b,) in rows.select(self._bucket(table).alias("b")).distinct().collect()}
+    def _empty(self, table: str) -> DataFrame:
+        columns = [c.split() for c in _TABLES[table][0].split(", ")]
+        return self.spark.range(0).select(*[F.lit(None).cast(kind).alias(name) for name, kind in columns])
+
+    def _buckets_of(self, table: str, rows: DataFrame) -> dict[str, int]:
+        """The buckets that rows of ``table`` fall in, with their number of rows."""
+        return {str(b): n for b, n in rows.groupBy(self._bucket(table).alias("b")).agg(F.count("*")).collect()}
 
     # --- changes -----------------------------------------------------------------
 
@@ -136,7 +142,7 @@ class PairTable:
         membership in both is taken out. Rows with a null column are ignored. Empty batches change nothing.
         """
         run = Workspace(self.spark, "pair-batch")
-        empty = self.spark.createDataFrame([], _TABLES["members"][0])
+        empty = self._empty("members")
         clean = lambda df: (empty if df is None else df.select("owner", "day", "item")).na.drop()
         change = clean(present).withColumn("is", F.lit(1)).unionByName(clean(absent).withColumn("is", F.lit(0))).groupBy("owner", "day", "item").agg(F.min("is").alias("is"))
         change = run.save(change, "change")
@@ -149,7 +155,7 @@ class PairTable:
             touched = {str(b) for b in range(self.buckets)}
             old_members = empty
         else:
-            touched = self._buckets_of("members", change)
+            touched = set(self._buckets_of("members", change))
             old_members = self.read("members", touched)
             joined = change.join(old_members.withColumn("was", F.lit(1)), ["owner", "day", "item"], "left")
             delta = run.save(joined.withColumn("was", F.coalesce("was", F.lit(0))).filter(F.col("is") != F.col("was")), "delta")
@@ -157,7 +163,8 @@ class PairTable:
         # signed marginals, combined before the shuffle; only the buckets they fall in are read
         shift = run.save(delta.groupBy("item").agg(F.sum(F.col("is") - F.col("was")).cast("bigint").alias("n")).filter("n != 0"), "shift")
 
-        changed = delta.groupBy("owner", "day").agg(F.sum(F.col("is") - F.col("was")).alias("d"))
+        # a table, so that the members of a hot basket are split in the joins with it
+        changed = run.save(delta.groupBy("owner", "day").agg(F.sum(F.col("is") - F.col("was")).alias("d")), "changed")
         if first:
             new_total = changed.count()
         else:
@@ -183,9 +190,9 @@ class PairTable:
         for table, signed in (("marginals", shift), ("pairs", pair_delta)):
             keys = _TABLES[table][1]
             buckets = self._buckets_of(table, signed)
-            old = self.read(table, buckets)
+            old = self.read(table, set(buckets))
             merged = old.unionByName(signed).groupBy(*keys).agg(F.sum("n").alias("n")).filter("n != 0")
-            files[table] = self._store(table, merged, buckets, old.count() + signed.count())
+            files[table] = self._store(table, merged, set(buckets), old.count() + sum(buckets.values()))
         self._commit(self.version + 1, new_total, files)
         self.touched = pair_delta.select("item_a", "item_b")
         self.moved = shift.select("item")
