@@ -31,6 +31,8 @@ ROLE_NAMES = {
     "verified_purchase": ["verified_purchase", "verifiedPurchase"],
     "helpful_votes": ["helpful_vote", "helpful_votes"],
 }
+#: JSON types in order.
+JSON_TYPES = ("array", "boolean", "number", "object", "string")
 #: Columns of the input; others are ignored.
 LINE_COLUMNS = ["feed_name", "file_name", "file_seq", "line_no", "payload"]
 #: Least similarity of the contents of two fields, one gone and one new, that makes a rename.
@@ -134,36 +136,64 @@ def tagged_paths(parsed: DataFrame) -> DataFrame:
 
 
 def _profiles(parsed: DataFrame) -> DataFrame:
-    """Per file and field: its set of types and the measures that describe its contents."""
+    """Per file and field: its set of types and the measures that describe its contents.
+
+    Values are first summed up by what they begin with, in hash tables of plain numbers; these few rows then
+    make the profile. Different values are counted by one bit of 64 per first-character class, which tells apart
+    some hundreds."""
+    key = ["feed_name", "file_seq", "file_name", "field_name"]
     text = F.col("text")
-    number = text.try_cast("double")
-    words = F.size(F.split(F.trim(text), r"\s+")).cast("double")
-    share = lambda test: F.avg(F.when(text.isNotNull(), test.cast("double")))
-    types = F.sort_array(F.collect_set("json_type"))  # at most five values
-    # upper and lower case fall together; with as many bins as classes the histogram is exact
-    opening = F.ascii(text).bitwiseAND(F.lit(OPENINGS - 1))
-    values = field_values(parsed)
-    per_field = values.groupBy("feed_name", "file_seq", "file_name", "field_name").agg(
-        types.alias("types"),
+    kind = F.create_map(*[x for i, t in enumerate(JSON_TYPES) for x in (F.lit(t), F.lit(1 << i))])
+    values = field_values(parsed).select(
+        *key,
+        text,
+        F.element_at(kind, F.col("json_type")).alias("kind"),
+        # only what begins like a number is parsed: text that isn't one costs an exception
+        F.when(F.ascii(F.trim(text)).between(ord("+"), ord("9")), text.try_cast("double")).alias("number"),
+        # upper and lower case fall together
+        F.ascii(text).bitwiseAND(F.lit(OPENINGS - 1)).alias("opening"),
+    )
+    total = lambda test: F.sum(test.cast("int"))
+    trimmed = F.trim(text)
+    by_opening = values.groupBy(*key, "opening").agg(
+        F.bit_or("kind").alias("kinds"),
         F.count("*").alias("lines"),
         F.count("text").alias("filled"),
-        F.avg(F.length(text)).alias("chars"),
-        F.avg(words).alias("words"),
-        share(number.isNotNull()).alias("numeric"),
-        share(F.lower(text).isin("true", "false")).alias("truth"),
-        share(text.rlike("[A-Z]")).alias("upper"),
-        share(text.rlike("[a-z]")).alias("lower"),
-        share(number == 0).alias("zero"),
-        F.avg(F.log10(F.abs(number) + 1)).alias("magnitude"),
-        F.approx_count_distinct(text).cast("double").alias("distinct"),
-        F.histogram_numeric(opening, F.lit(OPENINGS)).alias("bins"),
+        F.sum(F.length(text)).alias("chars"),
+        F.sum(F.length(trimmed) - F.length(F.replace(trimmed, F.lit(" "), F.lit(""))) + 1).alias("words"),
+        F.count("number").alias("numeric"),
+        total(F.lower(text).isin("true", "false")).alias("truth"),
+        total(text != F.lower(text)).alias("upper"),
+        total(text != F.upper(text)).alias("lower"),
+        total(F.col("number") == 0).alias("zero"),
+        F.sum(F.log10(F.abs("number") + 1)).alias("magnitude"),
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(text), F.lit(64)).cast("int"))).alias("met"),
     )
-    # a class may come in several bins
-    of_class = lambda i: F.aggregate(F.filter("bins", lambda e: e["x"] == i), F.lit(0.0), lambda s, e: s + e["y"])
-    openings = F.transform(F.sequence(F.lit(0), F.lit(OPENINGS - 1)), of_class)
+    free = F.lit(64) - F.bit_count("met")
+    many = F.when(F.col("filled") > 0, -64 * F.log(F.greatest(free, F.lit(1)) / 64))
+    shares = ("chars", "words", "numeric", "truth", "upper", "lower")
+    sums = by_opening.groupBy(*key).agg(
+        F.bit_or("kinds").alias("kinds"),
+        *[F.sum(c).cast("double").alias(c) for c in ("lines", "filled", *shares, "zero", "magnitude")],
+        F.sum(many).alias("distinct"),
+        F.array(*[F.coalesce(F.sum(F.when(F.col("opening") == i, F.col("filled"))), F.lit(0)).cast("double") for i in range(OPENINGS)]).alias("openings"),
+    )
+    types = F.array_compact(F.array(*[F.when(F.col("kinds").bitwiseAND(F.lit(1 << i)) > 0, t) for i, t in enumerate(JSON_TYPES)]))
+    part = lambda c, of: F.when(F.col(of) > 0, F.col(c) / F.col(of))
     lines = parsed.filter(F.col("v").isNotNull()).groupBy("feed_name", "file_seq").agg(F.count("*").cast("double").alias("n_lines"))
-    out = per_field.withColumn("openings", openings).drop("bins").join(lines, ["feed_name", "file_seq"])
-    return out.withColumn("presence", F.col("lines") / F.col("n_lines"))
+    return sums.join(lines, ["feed_name", "file_seq"]).select(
+        *key,
+        types.alias("types"),
+        "lines",
+        "filled",
+        *[part(c, "filled").alias(c) for c in shares],
+        part("zero", "numeric").alias("zero"),
+        part("magnitude", "numeric").alias("magnitude"),
+        "distinct",
+        "openings",
+        "n_lines",
+        (F.col("lines") / F.col("n_lines")).alias("presence"),
+    )
 
 
 def _role(name: Column) -> Column:
