@@ -1,4 +1,5 @@
 import json
+from collections import Counter
 from dataclasses import replace
 from itertools import combinations
 
@@ -169,3 +170,38 @@ def test_pairs_of_a_hot_group_are_made_in_blocks(spark, wide_joins, tmp_path):
     # 24 blocks of the hot group make 300 keys of a pair of blocks; a task joins one of them at a time
     rows = {r.g: r.n for r in found.groupBy("g").agg(F.count("*").alias("n")).collect()}
     assert rows["hot"] == 1200 * 1199 // 2
+
+
+def brute(rows, least=3):
+    """Edges of (user, product, bucket) rows."""
+    members = {}
+    for u, p, b in rows:
+        if None not in (u, p, b):
+            members.setdefault((p, b), set()).add(u)
+    weights = Counter(pair for users in members.values() for pair in combinations(sorted(users), 2))
+    return sorted((a, b, w) for (a, b), w in weights.items() if w >= least)
+
+
+#: Sets of twins of 1 to 9 users, whose ids interleave, along a chain; two lone sets, one of which has too few groups; null keys.
+CHAIN = [(f"u{(i * 7 + k * 11) % 100:02d}-{i}", "p", 2 * i + d) for i in range(24) for k in range(1 + i * 5 % 9) for d in range(5)]
+CHAIN += [(u, "q", d) for u in ("x", "y", "z") for d in range(4)] + [(u, "r", d) for u in ("few1", "few2") for d in range(2)]
+CHAIN += [(u, None, d) for u in ("null1", "null2") for d in range(5)] + [(u, "s", None) for u in ("null1", "null2")] + [(None, "q", d) for d in range(4)]
+
+
+def chain(spark):
+    return spark.createDataFrame(CHAIN, "user_id string, product_id string, bucket bigint")
+
+
+@pytest.mark.parametrize("per_round", [10**9, 40])
+def test_edges_of_twins_and_of_rounds_equal_brute_force(spark, per_round, monkeypatch):
+    monkeypatch.setattr(pairs, "LIST", 2)
+    found = pairs.twin_edges(chain(spark), replace(PipelineConfig(), pairs_per_round=per_round))
+    assert sorted(map(tuple, found.edges().collect())) == brute(CHAIN)
+    assert not found.alone and found.found.count() < len(brute(CHAIN)) / 10
+
+
+def test_without_twins_all_edges_are_found(spark):
+    rows = [(f"u{i:02d}", "p", i + d) for i in range(12) for d in range(5)]
+    found = pairs.twin_edges(spark.createDataFrame(rows, "user_id string, product_id string, bucket bigint"))
+    assert found.alone and sorted(map(tuple, found.edges().collect())) == brute(rows)
+    assert sorted(map(tuple, pairs.twin_edges(chain(spark).limit(0)).edges().collect())) == []
