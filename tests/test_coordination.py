@@ -15,6 +15,7 @@ from tessera.operators import graph, groups, pairs, score
 from tessera.plans.pipeline import run
 from tessera.sources.console import report
 from tessera.sources.parquet import ENRICHED_SCHEMA, read_enriched
+from tessera.storage import Workspace
 
 REVIEW = "user_id string, product_id string, timestamp bigint"
 
@@ -205,3 +206,19 @@ def test_without_twins_all_edges_are_found(spark):
     found = pairs.twin_edges(spark.createDataFrame(rows, "user_id string, product_id string, bucket bigint"))
     assert found.alone and sorted(map(tuple, found.edges().collect())) == brute(rows)
     assert sorted(map(tuple, pairs.twin_edges(chain(spark).limit(0)).edges().collect())) == []
+
+
+@pytest.mark.parametrize("mode,rounds", [("bounded", 0), ("bounded", 1), ("bounded", 3), ("bounded", 20), ("converged", 20), ("as_coded", 20)])
+def test_labels_and_scores_of_twins_equal_those_of_listed_edges(spark, mode, rounds):
+    found = pairs.twin_edges(chain(spark))
+    edges = Workspace(spark, "listed").save(spark.createDataFrame(brute(CHAIN), "user_a string, user_b string, weight bigint"), "edges")
+    want, got = graph.component_labels(edges, mode, rounds), graph.twin_labels(found, mode, rounds)
+    assert labels(got) == labels(want)
+    assert {r.user_id for r in graph.twin_vertices(found).collect()} == set(labels(want))
+    mine = score.twin_scores(found, got, graph.twins_share(mode, rounds))
+    assert sorted(map(tuple, mine.collect())) == sorted(map(tuple, score.coordination_scores(edges, want).collect()))
+
+
+def test_least_neighbours_of_twins_equal_those_of_listed_edges(spark):
+    edges = spark.createDataFrame(brute(CHAIN), "user_a string, user_b string, weight bigint")
+    assert labels(graph.twin_min_neighbours(pairs.twin_edges(chain(spark)))) == labels(graph.min_neighbour_labels(graph.symmetric(edges), graph.initial_labels(edges)))
