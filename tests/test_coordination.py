@@ -1,4 +1,5 @@
 import json
+import os
 from collections import Counter
 from dataclasses import replace
 from itertools import combinations
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 
 from tessera.config import PipelineConfig
 from tessera.operators import graph, groups, pairs, score
+from tessera.plans import queries
 from tessera.plans.pipeline import run
 from tessera.sources.console import report
 from tessera.sources.parquet import ENRICHED_SCHEMA, read_enriched
@@ -222,3 +224,18 @@ def test_labels_and_scores_of_twins_equal_those_of_listed_edges(spark, mode, rou
 def test_least_neighbours_of_twins_equal_those_of_listed_edges(spark):
     edges = spark.createDataFrame(brute(CHAIN), "user_a string, user_b string, weight bigint")
     assert labels(graph.twin_min_neighbours(pairs.twin_edges(chain(spark)))) == labels(graph.min_neighbour_labels(graph.symmetric(edges), graph.initial_labels(edges)))
+
+
+def test_lines_of_the_whole_job_are_compressed_and_end_with_their_use(spark, tmp_path, monkeypatch):
+    made = []
+    monkeypatch.setattr(queries, "_as_lines", lambda raw, name, own=queries._as_lines: made.append(own(raw, name)) or made[-1])
+    monkeypatch.setattr(queries.pipeline, "analyse", lambda enriched, config: enriched)
+    kept = queries.pipeline.ingest
+    seen = []
+    monkeypatch.setattr(queries.pipeline, "ingest", lambda s, c: seen.extend(os.listdir(made[0].removeprefix("file:"))) or kept(s, c))
+    spark.range(3).selectExpr("id AS l_orderkey", "0L AS l_partkey", "1.0D AS l_quantity", "'R' AS l_returnflag", "1 AS l_linenumber").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(3).selectExpr("id AS o_orderkey", "id AS o_custkey", "timestamp'1995-01-02' AS o_orderdate", "'1-URGENT' AS o_orderpriority").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(1).selectExpr("id AS p_partkey", "'b' AS p_brand", "'n' AS p_name", "'t' AS p_type", "1.0D AS p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
+    enriched = queries.whole_job(spark, str(tmp_path))
+    assert enriched.count() == 3
+    assert any(f.endswith(".json.gz") or f.endswith(".txt.gz") for f in seen) and not os.path.exists(made[0].removeprefix("file:"))
