@@ -11,6 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera import storage
 from tessera.config import PipelineConfig
 from tessera.operators import graph, groups, pairs, score
 from tessera.plans import queries
@@ -239,3 +240,28 @@ def test_lines_of_the_whole_job_are_compressed_and_end_with_their_use(spark, tmp
     enriched = queries.whole_job(spark, str(tmp_path))
     assert enriched.count() == 3
     assert any(f.endswith(".json.gz") or f.endswith(".txt.gz") for f in seen) and not os.path.exists(made[0].removeprefix("file:"))
+
+
+def test_rounds_of_users_equal_brute_force(spark):
+    space = Workspace(spark, "spent")
+    found = pairs.twin_edges(space.save(chain(spark).select("*", groups.user_round(3)), "rows", ["round"]), rounds=3, spent=space)
+    assert sorted(map(tuple, found.edges().collect())) == brute(CHAIN)
+    assert not os.path.exists(space.root.removeprefix("file:"))
+
+
+#: Queries that join orders in rounds and delete the joined rows once the members of groups are written.
+IN_ROUNDS = ["vertices"]
+
+
+@pytest.mark.parametrize("name", IN_ROUNDS)
+def test_rounds_give_the_same_rows_and_leave_no_joined_ones(spark, name, monkeypatch):
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    want = sorted(map(tuple, queries.queries()[name](spark, folder).collect()))
+    saved = []
+    monkeypatch.setattr(storage, "ROUND_ROWS", 2000)
+    monkeypatch.setattr(Workspace, "save", lambda self, df, table, *how, own=Workspace.save: saved.append(self.path(table)) or own(self, df, table, *how))
+    assert sorted(map(tuple, queries.queries()[name](spark, folder).collect())) == want
+    assert sum(p.endswith("/rows") for p in saved) >= 3 and {"members-2", "sets-2"} <= {p.rpartition("/")[2] for p in saved}
+    assert not [p for p in saved if p.endswith("/rows") and os.path.exists(p.removeprefix("file:"))]
