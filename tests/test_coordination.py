@@ -265,3 +265,16 @@ def test_rounds_give_the_same_rows_and_leave_no_joined_ones(spark, name, monkeyp
     assert sorted(map(tuple, queries.queries()[name](spark, folder).collect())) == want
     assert sum(p.endswith("/rows") for p in saved) >= 3 and {"members-2", "sets-2"} <= {p.rpartition("/")[2] for p in saved}
     assert not [p for p in saved if p.endswith("/rows") and os.path.exists(p.removeprefix("file:"))]
+
+
+@pytest.mark.parametrize("block,busy", [(512, 10_000), (3, 10_000), (3, 4)])
+def test_rounds_shuffle_arrays_and_equal_brute_force(spark, block, busy, monkeypatch):
+    rows = [(f"u{i:02d}", f"p{i % 2}", i + d) for i in range(24) for d in range(9)] + [("busy", f"p{k}", d) for k in range(2) for d in range(30)]
+    monkeypatch.setattr(pairs, "BUSY", busy, raising=False)
+    saved = []
+    monkeypatch.setattr(Workspace, "save", lambda self, df, table, *how, own=Workspace.save: saved.append((table, df.count(), self.path(table))) or own(self, df, table, *how))
+    found = pairs.twin_edges(spark.createDataFrame(rows, "user_id string, product_id string, bucket bigint"), replace(PipelineConfig(), pairs_per_round=300, pair_block_size=block))
+    assert sorted(map(tuple, found.edges().collect())) == brute(rows)
+    done = dict(x[:2] for x in saved)
+    assert done["gathered"] > 0 and bool(done["large"]) == (block == 3) and done["busy"] == (25 if busy == 4 else 0) and sum(n for t, n, _ in saved if t.startswith("round-")) > 0
+    assert not [at for name, _, at in saved if name in ("kept", "gathered", "round-1") and os.path.exists(at.removeprefix("file:"))]
