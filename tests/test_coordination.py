@@ -250,7 +250,7 @@ def test_rounds_of_users_equal_brute_force(spark):
 
 
 #: Queries that join orders in rounds and delete the joined rows once the members of groups are written.
-IN_ROUNDS = ["vertices", "console_report", "labels_as_coded", "coordination_scores_converged", "labels_left_anti", "top_components", "component_metrics", "min_neighbour_labels"]
+IN_ROUNDS = ["vertices", "console_report", "labels_as_coded", "coordination_scores_converged", "labels_left_anti", "top_components", "component_metrics", "min_neighbour_labels", "component_sizes"]
 
 
 @pytest.mark.parametrize("name", IN_ROUNDS)
